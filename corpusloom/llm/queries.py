@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("op1",)
+MODULES = ("op1", "op5")
 
 
 def _modules() -> list:
