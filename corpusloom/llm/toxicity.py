@@ -1,6 +1,6 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the bag of its character 3- to 6-grams (with edge marks) and itself, each hashed to a
+A word is the bag of its character 3- to 5-grams (with edge marks) and itself, each hashed to a
 row of one embedding table, so that unseen misspellings share vectors with words that were seen. A
 segment of a text is the average of its words' vectors; a linear softmax tells its label. Texts
 are labelled as a whole, so a toxic text teaches through its most toxic segment, a clean text
@@ -12,42 +12,45 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters of training; ``most_rows`` bounds the labelled sample that is fetched."""
+    """Parameters of training.
 
-    most_rows: int = 6000
-    most_words: int = 4_000_000
+    ``most_rows`` bounds the labelled sample that is fetched, ``most_segments`` the toxic segments that an epoch
+    learns from (three times as many clean ones go with them).
+    """
+
+    most_rows: int = 4000
     buckets: int = 1 << 17
     dim: int = 8
     segment: int = 40
-    epochs: int = 6
+    most_segments: int = 8000
+    epochs: int = 5
     rate: float = 0.5
     seed: int = 5
 
 
 def word_list(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Lower-cased words in order; a word that repeats the one before counts once, so that runs of it don't fill a segment."""
+    return [w for w, _ in groupby(_WORD.findall(text.lower()))] if text else []
 
 
-def subwords(word: str, buckets: int, least: int = 3, most: int = 6) -> list[int]:
+def subwords(word: str, buckets: int, least: int = 3, most: int = 5) -> list[int]:
     """Rows of the character n-grams of ``<word>`` and of the word itself; of a very long word, too."""
     marked = f"<{word}>"
     grams = {marked}
     for n in range(least, most + 1):
         grams.update(marked[i : i + n] for i in range(len(marked) - n + 1))
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in sorted(grams)]
+    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in grams]
 
 
 class Vocabulary:
@@ -120,6 +123,11 @@ def train(texts: list[str | None], labels: list[int], settings: Settings = Setti
     weight[1], weight[0] = 0.1, -0.1
     seen_t, seen_w, seen_b = np.full(settings.buckets, 1e-6, np.float32), np.full_like(weight, 1e-6), np.full_like(bias, 1e-6)
 
+    learnt = np.zeros(settings.buckets, dtype=bool)
+
+    def sums(groups: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+        return np.stack([np.bincount(groups, values[:, k], n) for k in range(values.shape[1])], axis=1).astype(np.float32)
+
     def bags(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words of the segments, the segment of each, and the weight of each."""
         parts = [segments[i] for i in which]
@@ -142,34 +150,33 @@ def train(texts: list[str | None], labels: list[int], settings: Settings = Setti
             order = toxic[np.lexsort((-value[toxic], owner[toxic]))]
             toxic = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]
             toxic = np.repeat(toxic, 2)
+        toxic = rng.permutation(toxic)[: settings.most_segments]
         clean = np.flatnonzero(y[owner] == 0)
         hard = clean[np.argsort(-value[clean], kind="stable")[: len(toxic)]]
-        some = np.concatenate([toxic, rng.choice(clean, min(len(clean), 4 * len(toxic)), replace=False), hard if epoch else hard[:0]])
+        some = np.concatenate([toxic, rng.choice(clean, min(len(clean), 2 * len(toxic)), replace=False), hard if epoch else hard[:0]])
         rng.shuffle(some)
         for batch in np.array_split(some, max(1, len(some) // 64)):
             numbers, segment, share_of = bags(batch)
             unique, back = np.unique(numbers, return_inverse=True)
             vectors, rows, n = word_vectors(unique)
-            h = np.zeros((len(batch), settings.dim), dtype=np.float32)
-            np.add.at(h, segment, vectors[back] * share_of[:, None])
+            h = sums(segment, vectors[back] * share_of[:, None], len(batch))
             z = h @ weight.T + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(batch)), y[owner[batch]]] -= 1
             grad_h = p @ weight
             grad_w, grad_b = p.T @ h / len(batch), p.mean(axis=0)
-            grad_u = np.zeros((len(unique), settings.dim), dtype=np.float32)
-            np.add.at(grad_u, back, grad_h[segment] * share_of[:, None])
-            per_row = np.repeat(grad_u / n[:, None], n, axis=0)
+            grad_u = sums(back, grad_h[segment] * share_of[:, None], len(unique))
             hit, which = np.unique(rows, return_inverse=True)
-            grad_t = np.zeros((len(hit), settings.dim), dtype=np.float32)
-            np.add.at(grad_t, which, per_row)
+            grad_t = sums(which, np.repeat(grad_u / n[:, None], n, axis=0), len(hit))
+            learnt[hit] = True
             seen_t[hit] += (grad_t**2).mean(axis=1)
             table[hit] -= settings.rate * grad_t / np.sqrt(seen_t[hit])[:, None]
             seen_w += grad_w**2
             seen_b += grad_b**2
             weight -= 0.1 * grad_w / np.sqrt(seen_w)
             bias -= 0.1 * grad_b / np.sqrt(seen_b)
+    table[~learnt] = 0  # rows that no segment taught would add noise only
     model = Model((table @ (weight[1] - weight[0])).astype(np.float32), float(bias[1] - bias[0]), settings)
     # A text is judged by its highest segment, so the cut is set on whole texts: the bias is moved to where both errors are least.
     z = model.logits(texts)
@@ -177,31 +184,5 @@ def train(texts: list[str | None], labels: list[int], settings: Settings = Setti
     errors = np.concatenate([[0], np.cumsum(y[order] == 1)]) + np.concatenate([np.cumsum((y[order] == 0)[::-1])[::-1], [0]])
     best = np.flatnonzero(errors == errors.min())
     cuts = np.concatenate([[z[order[0]] - 1], (z[order][1:] + z[order][:-1]) / 2, [z[order[-1]] + 1]])
-    model.bias -= float(cuts[best].mean())
+    model.bias -= float(cuts[best].min() + 0.4 * (cuts[best].max() - cuts[best].min()))  # unseen toxic texts score lower than these
     return model
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most_rows: int) -> pd.DataFrame:
-    """(text, label) of at most ``most_rows`` usable labelled rows, each label at most half of them, chosen by the hash of their id."""
-    known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label")).where(usable)
-    parts = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows // 2) for k in (0, 1)]
-    chosen = parts[0].unionByName(parts[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toPandas()
-    return rows.sort_values(["doc_id", "text"], kind="stable", na_position="first")
-
-
-def score_texts(docs: DataFrame, model: Model, *, text: str = "text", score: str = "score") -> DataFrame:
-    """``docs`` with a score column. Null and empty texts get the score of a text without words; an existing column of that name is replaced."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    kept = [c for c in docs.columns if c.lower() != score.lower()]
-    docs = docs.select(*[docs[f"`{c}`"] for c in kept])
-    model_of = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, float] = {}
-        for batch in batches:
-            batch[score] = model_of.value.scores(batch[text], cache)
-            yield batch
-
-    return docs.mapInPandas(run, StructType([*docs.schema.fields, StructField(score, DoubleType())]))
