@@ -30,6 +30,32 @@ def joined(spans: list[pii.Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 
 
+def redact_rows(docs: DataFrame, model: pii.Field) -> DataFrame:
+    """``docs`` with every span of ``text`` replaced by its kind in brackets, and ``n_chars`` to match.
+
+    Overlapping spans are replaced as one, under the kind of the first. Null texts stay null.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, text in batch["text"].items():
+                spans = sorted(pii.find(text, shared.value)[1], key=lambda s: (s[1], -s[2]))
+                if not spans:
+                    continue
+                out, done = [], 0
+                for kind, start, end in spans:
+                    if start >= done:
+                        out += [text[done:start], f"[{kind.upper()}]"]
+                    done = max(done, end)
+                batch.at[i, "text"] = "".join(out) + text[done:]
+            if "n_chars" in batch:
+                batch["n_chars"] = batch["text"].map(len, na_action="ignore").astype("Int64")
+            yield batch
+
+    return docs.mapInPandas(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = spark.sparkContext.broadcast(fitted(docs))
