@@ -42,9 +42,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), mos
     before, onward = by_level.rowsBetween(Window.unboundedPreceding, -1), by_level.rowsBetween(0, Window.unboundedFollowing)
     total = F.sum("source_size").over(Window.partitionBy())
     level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(onward)
-    levelled = sources.withColumn("here", level)
-    free = F.when(F.col("cap") > F.col("here") * F.col("weight"), F.col("here"))
-    levelled = levelled.withColumn("level", F.min(free).over(Window.partitionBy()))
+    levelled = sources.withColumn("here", level).withColumn("turn", F.row_number().over(by_level))
+    free = F.when(F.col("cap") > F.col("here") * F.col("weight"), F.struct("turn", "here"))
+    levelled = levelled.withColumn("level", F.min(free).over(Window.partitionBy())["here"])
     target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double")))
     return levelled.select("source", "source_size", "weight", target.alias("target"))
 

@@ -24,9 +24,12 @@ WITH d AS (
   SELECT *, (CASE (k - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END)::DOUBLE AS weight, 3 * source_size AS cap FROM s
 ), l AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
-    / sum(weight) OVER (ORDER BY cap / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS here FROM w
+    / sum(weight) OVER (ORDER BY cap / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS here,
+    row_number() OVER (ORDER BY cap / weight, k) AS turn FROM w
+), n AS (
+  SELECT arg_min(here, turn) AS level FROM l WHERE cap > here * weight
 ), t AS (
-  SELECT source, k, source_size, least(cap::DOUBLE, coalesce(min(CASE WHEN cap > here * weight THEN here END) OVER () * weight, cap::DOUBLE)) AS target FROM l
+  SELECT source, k, source_size, least(cap::DOUBLE, coalesce((SELECT level FROM n) * weight, cap::DOUBLE)) AS target FROM l
 ), r AS (
   SELECT d.doc_id, d.size, t.k, t.source_size, t.target,
     CASE WHEN d.size > 0 THEN t.target / t.source_size ELSE 0 END AS expected,
