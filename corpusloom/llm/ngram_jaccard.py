@@ -102,9 +102,12 @@ def sketch_rows(sets: DataFrame, percent: int) -> DataFrame:
     def told(tag: int, need: str) -> str:
         return f"array(struct(xxhash64(id, {tag}, 'told') AS key, {tag} AS tag, shiftleft(CAST(n AS BIGINT), 32) | CAST({need} AS BIGINT) AS info))"
 
-    parts = [f"transform({keys}, k -> struct(k AS key, {tag} AS tag, 0L AS info))" for tag, keys in enumerate(("k1", "k2", tokens))]
-    parts += [told(4, "greatest(need1, 1)"), told(5, "greatest(need2, 1)"), told(6, f"((n * {percent}L + 99) div 100)")]
-    return keyed.select("id", F.expr(f"inline(concat({', '.join(parts)}))"))
+    parts = [f"transform({keys}, k -> struct(k AS key, {tag} AS tag, 0L AS info))" for tag, keys in enumerate(("k1", "k2", "k3"))]
+    none = "CAST(array() AS array<struct<key: bigint, tag: int, info: bigint>>)"
+    parts.append(told(4, "greatest(need1, 1)"))
+    parts.append(f"CASE WHEN z2 > 0 THEN {told(5, 'greatest(need2, 1)')} ELSE {none} END")
+    parts.append(f"CASE WHEN size(k3) > 0 THEN {told(6, f'((n * {percent}L + 99) div 100)')} ELSE {none} END")
+    return keyed.withColumn("k3", F.expr(tokens)).select("id", F.expr(f"inline(concat({', '.join(parts)}))"))
 
 
 def _one_text_an_id(source: DataFrame, texts: DataFrame) -> DataFrame:
@@ -119,10 +122,10 @@ def _one_text_an_id(source: DataFrame, texts: DataFrame) -> DataFrame:
 def candidate_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs a < b that agree on a key each of them must look at, with their sizes."""
     told = rows.where("tag >= 4").select("id", (F.col("tag") - 4).alias("tag"), F.shiftright("info", 32).cast("int").alias("n"), F.col("info").bitwiseAND(2**32 - 1).cast("int").alias("need"))
-    kept = rows.where("tag < 4")
-    able = kept.groupBy("id", "tag").agg(F.count("*").alias("c")).join(told, ["id", "tag"]).where("c >= need")
-    rank = F.row_number().over(Window.partitionBy("id", "tag").orderBy("together", "key"))
-    looked = kept.join(able, ["id", "tag"]).withColumn("r", rank).where("r <= c - need + 1").select("key", "id", "tag", "n")
+    of = Window.partitionBy("id", "tag")
+    # One shuffle by (id, tag) both counts and ranks the keys of a set.
+    kept = rows.where("tag < 4").withColumns({"c": F.count("*").over(of), "r": F.row_number().over(of.orderBy("together", "key"))})
+    looked = kept.join(told, ["id", "tag"]).where("c >= need AND r <= c - need + 1").select("key", "id", "tag", "n")
     looked = materialize(looked, "ng-prefixes")
     a, b = (looked.select("key", F.col("id").alias(x), F.col("tag").alias(f"t{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
     near = f"a < b AND NOT (ta = 1 AND tb = 1) AND 100L * least(na, nb) >= {percent}L * greatest(na, nb)"
