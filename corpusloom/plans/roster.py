@@ -135,10 +135,10 @@ def batch_topk(spark, sf_dir):
     return near.withColumn("n", rank).where("n <= 5").select("query_id", "vec_id", (F.col("n") - 1).alias("rank"), F.round("sim", 6).alias("sim"))
 
 
-@query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 2)) AS unit, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * 3, 5) AS norm FROM embeddings")
+@query("SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 3) + 0.0 AS unit_sum, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * 3, 5) AS norm FROM embeddings")
 def normalize_vectors(spark, sf_dir):
     longer = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x * 3).alias("v"))
-    return longer.select("vec_id", F.transform(vectors.unit("v"), lambda x: F.round(x.cast("double"), 2)).alias("unit"), F.round(vectors.norm("v"), 5).alias("norm"))
+    return longer.select("vec_id", (F.round(F.aggregate(vectors.unit("v"), F.lit(0.0), lambda s, x: s + x.cast("double")), 3) + 0.0).alias("unit_sum"), F.round(vectors.norm("v"), 5).alias("norm"))
 
 
 @query("SELECT coalesce(nullif(source, ''), 'unknown') AS source, count(*) AS entries FROM documents GROUP BY 1")

@@ -30,7 +30,7 @@ def as_entries(df: DataFrame) -> DataFrame:
         elif f.name == "metadata":
             kind = df.schema[have["metadata"]].dataType
             value = F.col("metadata") if isinstance(kind, T.VariantType) else F.parse_json(F.col("metadata")) if isinstance(kind, T.StringType) else F.to_variant_object("metadata")
-            columns.append(F.coalesce(value, F.parse_json(F.lit("{}"))).alias("metadata"))
+            columns.append(F.when(F.coalesce(F.is_variant_null(value), F.lit(True)), F.parse_json(F.lit("{}"))).otherwise(value).alias("metadata"))
         else:
             columns.append(F.col(f"`{have[f.name]}`").cast(f.dataType).alias(f.name))
     extra = [F.col(c) for c in ("idx", "date_parsed") if c in have]
