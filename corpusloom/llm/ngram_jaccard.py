@@ -23,14 +23,14 @@ partners of smaller sets. Then:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import WORD, keep_ids, lower_ascii, materialize, words
+from .shared import BROADCAST_IDS, WORD, keep_ids, lower_ascii, materialize, words
 
 MAX63 = "9223372036854775807L"
-#: A cell of a component holds about twice so many shingles, besides a single longer set.
+#: A part of a component holds about so many keys, and a cell of it about twice so many shingles, besides a single longer set.
 CELL = 200_000
 SKETCH_WORDS = 8
 
@@ -119,45 +119,69 @@ def _one_text_an_id(source: DataFrame, texts: DataFrame) -> DataFrame:
     return keep_ids(source, repeated, "id", "left_anti").unionByName(least)
 
 
-def candidate_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs a < b that agree on a key each of them must look at, with their sizes."""
+def _with_ids(rows: DataFrame, of: DataFrame, key: str) -> DataFrame:
+    """Join with a materialized table of one row an id, which is broadcast if its rows are few enough."""
+    return rows.join(F.broadcast(of) if of.count() <= BROADCAST_IDS else of, key)
+
+
+def _by_cell(spark: SparkSession, write):
+    """Runs ``write`` with joins that accept sides laid out by their cell alone, as both are here."""
+    setting = "spark.sql.requireAllClusterKeysForCoPartition"
+    was = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        return write()
+    finally:
+        spark.conf.set(setting, was)
+
+
+def candidate_pairs(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, component): distinct pairs a < b that agree on a key each of them must look at, with their sizes, and
+    the component (id, component) of all that could be paired.
+
+    A pair may agree on hundreds of keys. The keys of a component are therefore laid out together (a large one's in several
+    parts), so that its pairs are made and made distinct in place, before they are shuffled.
+    """
+    spark = rows.sparkSession
     told = rows.where("tag >= 4").select("id", (F.col("tag") - 4).alias("tag"), F.shiftright("info", 32).cast("int").alias("n"), F.col("info").bitwiseAND(2**32 - 1).cast("int").alias("need"))
     of = Window.partitionBy("id", "tag")
     # One shuffle by (id, tag) both counts and ranks the keys of a set.
     kept = rows.where("tag < 4").withColumns({"c": F.count("*").over(of), "r": F.row_number().over(of.orderBy("together", "key"))})
     looked = kept.join(told, ["id", "tag"]).where("c >= need AND r <= c - need + 1").select("key", "id", "tag", "n")
-    looked = materialize(looked, "ng-prefixes")
-    a, b = (looked.select("key", F.col("id").alias(x), F.col("tag").alias(f"t{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    hub = F.min("id").over(Window.partitionBy("key"))
+    looked = materialize(looked.withColumn("hub", hub), "ng-prefixes")
+    component = connected_components(looked.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    weight = looked.groupBy("id").agg(F.count("*").alias("keys")).join(component, "id").groupBy("component").agg(F.ceil(F.sum("keys") / F.lit(CELL)).cast("int").alias("parts"))
+    places = materialize(component.join(weight, "component"), "ng-parts")
+    laid = _with_ids(looked, places, "id").select("key", "id", "tag", "n", F.expr("xxhash64(component, pmod(key, parts))").alias("cell"))
+    laid = laid.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell")
+    a, b = (laid.select("cell", "key", F.col("id").alias(x), F.col("tag").alias(f"t{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
     near = f"a < b AND NOT (ta = 1 AND tb = 1) AND 100L * least(na, nb) >= {percent}L * greatest(na, nb)"
-    return materialize(a.join(b, "key").where(near).select("a", "b", "na", "nb").distinct(), "ng-pairs")
+    joined = a.join(b, ["cell", "key"]).where(near).select("a", "b", "na", "nb").distinct()
+    return _by_cell(spark, lambda: materialize(joined, "ng-pairs")), component
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough. Sets travel once a cell, not once a pair."""
+def verified(pairs: DataFrame, sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole sets are similar enough. Sets travel once a cell of their component, not once a pair."""
     spark = pairs.sparkSession
     num, den = 100 - percent, 100 + percent
-    component = connected_components(pairs)
     sizes = pairs.select(F.col("a").alias("id"), F.col("na").alias("n")).unionByName(pairs.select(F.col("b").alias("id"), F.col("nb").alias("n"))).distinct()
-    weight = component.join(sizes, "id").groupBy("component").agg(F.ceil(F.sum("n") / F.lit(CELL)).cast("int").alias("g"))
-    places = materialize(component.join(weight, "component").select("id", "component", "g", F.expr("CAST(pmod(xxhash64(id), g) AS INT)").alias("bucket")), "ng-places")
+    placed = component.join(sizes, "id")
+    weight = placed.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(CELL)).cast("int").alias("g"))
+    places = materialize(placed.join(weight, "component").select("id", "component", "g", F.expr("CAST(pmod(xxhash64(id), g) AS INT)").alias("bucket")), "ng-places")
     cell = lambda x, y: F.expr(f"xxhash64(component, least({x}, {y}), greatest({x}, {y}))").alias("cell")
-    at_a, at_b = (places.select(F.col("id").alias(x), "component", F.col("bucket").alias(f"bucket_{x}")) for x in "ab")
-    placed = pairs.join(at_a, "a").join(at_b.drop("component"), "b").select("a", "b", "na", "nb", cell("bucket_a", "bucket_b"))
+    at_a, at_b = places.select(F.col("id").alias("a"), "component", F.col("bucket").alias("bucket_a")), places.select(F.col("id").alias("b"), F.col("bucket").alias("bucket_b"))
+    met = _with_ids(_with_ids(pairs, at_a, "a"), at_b, "b").select("a", "b", "na", "nb", cell("bucket_a", "bucket_b"))
     bits = [F.expr(f"aggregate(s, 0L, (v, x) -> CASE WHEN (x & {SKETCH_WORDS - 1}) = {w} THEN v ^ shiftleft(1L, CAST(shiftright(x, 3) & 63 AS INT)) ELSE v END)") for w in range(SKETCH_WORDS)]
-    spread = sets.withColumn("bits", F.array(*bits)).join(places, "id").withColumn("other", F.expr("explode(sequence(0, g - 1))")).select("id", "s", "bits", cell("bucket", "other"))
+    spread = _with_ids(sets.withColumn("bits", F.array(*bits)), places, "id").withColumn("other", F.expr("explode(sequence(0, g - 1))")).select("id", "s", "bits", cell("bucket", "other"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed, spread = placed.repartition(parts, "cell"), spread.repartition(parts, "cell")
+    met, spread = met.repartition(parts, "cell"), spread.repartition(parts, "cell")
     side = lambda x: spread.select("cell", F.col("id").alias(x), F.col("s").alias(f"s{x}"), F.col("bits").alias(f"bits_{x}")).hint("shuffle_hash")
     apart = "aggregate(zip_with(bits_a, bits_b, (x, y) -> bit_count(x ^ y)), 0, (v, x) -> v + x)"
-    joined = placed.join(side("a"), ["cell", "a"]).join(side("b"), ["cell", "b"]).where(f"{apart} <= ({num}L * (na + nb)) div {den}")
+    joined = met.join(side("a"), ["cell", "a"]).join(side("b"), ["cell", "b"]).where(f"{apart} <= ({num}L * (na + nb)) div {den}")
     shared = joined.select("a", "b", "na", "nb", F.expr("size(array_intersect(sa, sb))").alias("both"))
-    setting = "spark.sql.requireAllClusterKeysForCoPartition"  # both sides are laid out by cell already
-    was = spark.conf.get(setting)
-    spark.conf.set(setting, "false")
-    try:
-        return materialize(shared.where(f"100L * both >= {percent}L * (na + nb - both)").select("a", "b").distinct(), "ng-links")
-    finally:
-        spark.conf.set(setting, was)
+    linked = shared.where(f"100L * both >= {percent}L * (na + nb - both)").select("a", "b").distinct()
+    return _by_cell(spark, lambda: materialize(linked, "ng-links"))
 
 
 def jaccard_links(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 70) -> tuple[DataFrame, DataFrame]:
@@ -185,9 +209,9 @@ def jaccard_links(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n
     rows = sketch_rows(shingle_sets(keep_ids(source, copies, "id", "left_anti"), n), percent)
     together = F.count("*").over(Window.partitionBy("key")).alias("together")
     rows = materialize(rows.select("id", "key", "tag", "info", together).where("together > 1 OR tag >= 4"), "ng-keys")
-    pairs = candidate_pairs(rows, percent)
+    pairs, component = candidate_pairs(rows, percent)
     ids = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ng-ids")
-    links = verified(pairs, shingle_sets(keep_ids(source, ids, "id"), n), percent)
+    links = verified(pairs, shingle_sets(keep_ids(source, ids, "id"), n), component, percent)
     counts = rows.where("tag = 4").select(F.col("id").alias("rep"), F.shiftright("info", 32).alias("n_shingles"))
     return members.join(counts, "rep"), links
 
