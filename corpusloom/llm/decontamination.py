@@ -44,6 +44,22 @@ def within(value: int, radius: int, bits: int = BLOCK_BITS) -> Iterator[int]:
             yield value ^ sum(1 << b for b in flipped)
 
 
+def coded(items: Iterable[tuple[int, str | None]]) -> list[tuple[int, np.ndarray]]:
+    """(id, word codes) of the items that have words, in order of id."""
+    codes_of = Codes()
+    rows = [(i, codes_of.of(t)) for i, t in sorted({x for x in items if x[0] is not None}, key=lambda x: (x[0], x[1] or ""))]
+    return [(i, c) for i, c in rows if len(c)]
+
+
+def count_shingles(rows: list[tuple[int, np.ndarray]], k: int, before: tuple[int, np.ndarray, np.ndarray] | None = None) -> tuple[int, np.ndarray, np.ndarray]:
+    """(items, shingles, items that have each), with those counted before."""
+    total, all_, df = before or (0, np.zeros(0, np.uint64), np.zeros(0))
+    sets = [np.unique(shingles(c, k)) for _, c in rows]
+    joined, back = np.unique(np.concatenate([all_, *sets]), return_inverse=True)
+    weight = np.concatenate([df, np.ones(sum(map(len, sets)))])
+    return total + len(rows), joined, np.bincount(back, weight, len(joined)) if len(joined) else np.zeros(0)
+
+
 @dataclass
 class Benchmark:
     """The items, ready to be searched for. Size: about 40 KB an item at radius 19."""
@@ -62,14 +78,15 @@ class Benchmark:
     threshold: float
 
     @classmethod
-    def build(cls, items: Iterable[tuple[int, str | None]], k: int = 3, radius: int = 19, threshold: float = 0.35) -> Benchmark:
-        """Items without words, and rows that repeat an id and a text, are left out."""
-        codes_of = Codes()
-        rows = [(i, codes_of.of(t)) for i, t in sorted(set(items), key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))]
-        rows = [(i, c) for i, c in rows if i is not None and len(c)]
+    def build(cls, items: Iterable[tuple[int, str | None]], k: int = 3, radius: int = 19, threshold: float = 0.35, counts: tuple[int, np.ndarray, np.ndarray] | None = None) -> Benchmark:
+        """Items without words, and rows that repeat an id and a text, are left out. ``counts`` are those of ``count_shingles``
+        over all items, where these are a part of them, so that weights don't depend on the part."""
+        rows = coded(items)
+        total, all_, df_of = counts or count_shingles(rows, k)
         own = [np.unique(shingles(c, k)) for _, c in rows]
-        known, df = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_counts=True)
-        weights = 1 + np.log(max(1, len(rows)) / np.maximum(df, 1))
+        known = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64))
+        df = df_of[np.searchsorted(all_, known)] if len(known) else np.zeros(0)
+        weights = 1 + np.log(max(1, total) / np.maximum(df, 1))
         owners: list[list[int]] = [[] for _ in known]
         sets, totals, prints = [], [], []
         for n, s in enumerate(own):
@@ -150,8 +167,8 @@ class Benchmark:
             shared = sum(own.get(int(x), 0.0) for x in window)
             similarity = shared / (float(common.sum()) + float(self.totals[n]) - shared)
             if similarity >= self.threshold and (best is None or (similarity, -apart) > (best[4], -best[3])):
-                best = (n, int(at), int(self.sizes[n]), apart, float(similarity))
-                if similarity >= 1:
+                best = (n, int(at), int(self.sizes[n]), apart, round(float(similarity), 6))
+                if similarity >= 1 - 1e-9:
                     break
         return best
 
@@ -167,10 +184,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
     items = benchmark.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL")
     passes = max(1, -(-items.count() // most_items))
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    part_of = lambda p: [(r.i, r.t) for r in (items if passes == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == p)).collect()]
+    counts = None
+    for p in range(passes):
+        counts = count_shingles(coded(part_of(p)), settings.get("k", 3), counts)
     out = None
     for p in range(passes):
-        part = items if passes == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == p)
-        shared = spark.sparkContext.broadcast(Benchmark.build(((r.i, r.t) for r in part.collect()), **settings))
+        shared = spark.sparkContext.broadcast(Benchmark.build(part_of(p), counts=counts, **settings))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             codes_of, b = Codes(), shared.value

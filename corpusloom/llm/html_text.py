@@ -174,11 +174,12 @@ def best_container(root: Node, sums: dict[int, tuple[int, int, int]]) -> Node |
         if value > most:
             best, most = node, value
     # A part of an article is less than the article.
-    up = best
-    while up is not None:
-        if up.tag == "article":
-            return up
-        up = up.parent
+    for whole in ("article", "main"):
+        up = best
+        while up is not None:
+            if up.tag == whole:
+                return up
+            up = up.parent
     return best
 
 
