@@ -21,9 +21,12 @@ TRAIN_CHARS = 20_000
 
 def fitted(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> pii.Field:
     """The field, trained on at most ``rows`` texts of at most ``chars`` characters (longer ones are not chosen)."""
-    usable = docs.where(F.col("text").rlike("[0-9@+]") & (F.char_length("text") <= chars))
-    sample = usable.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows)
-    return pii.train(r.text for r in sample.collect())
+    usable = docs.where(F.col("text").rlike("[0-9@+]") & (F.char_length("text") <= chars)).select("doc_id", "text")
+    # The ids are chosen first, so that no task sends texts that are not.
+    chosen = usable.select("doc_id", F.xxhash64("text").alias("hash")).orderBy(F.xxhash64("doc_id"), "doc_id", "hash").limit(rows)
+    sample = usable.withColumn("hash", F.xxhash64("text")).join(F.broadcast(chosen.distinct()), ["doc_id", "hash"])
+    texts = {(r.doc_id, r.text) for r in sample.collect()}
+    return pii.train(text for _, text in sorted(texts))
 
 
 def joined(spans: list[pii.Span]) -> str:

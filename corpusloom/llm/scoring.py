@@ -26,7 +26,7 @@ def score_texts(docs: DataFrame, model, *, text: str = "text", score: str = "sco
     """The columns to keep (all by default) and a score of each whole text.
 
     ``model.scores(texts, cache)`` gives one number a text; the cache lives as long as a partition is read.
-    An existing column of the score's name is replaced. Null texts are scored as empty ones.
+    An existing column of the score's name is replaced. Null texts are passed as they come; models read them as empty.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != score.lower()]
     rows = docs.select(*[docs[f"`{c}`"] for c in keep], docs[f"`{text}`"].alias("__text"))
