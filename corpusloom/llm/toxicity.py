@@ -11,10 +11,9 @@ segments of the whole text are scored.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 
@@ -44,29 +43,34 @@ def word_list(text: str | None) -> list[str]:
     return [w for w, _ in groupby(_WORD.findall(text.lower()))] if text else []
 
 
-def subwords(word: str, buckets: int, least: int = 3, most: int = 5) -> list[int]:
-    """Rows of the character n-grams of ``<word>`` and of the word itself; of a very long word, too."""
-    marked = f"<{word}>"
-    grams = {marked}
-    for n in range(least, most + 1):
-        grams.update(marked[i : i + n] for i in range(len(marked) - n + 1))
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in grams]
-
-
-class Vocabulary:
-    """Words numbered as they come, with the rows of their subwords, flat."""
-
-    def __init__(self, buckets: int):
-        self.buckets, self.ids, self.rows, self.lengths = buckets, {}, [], []
+def subwords(words: list[str], buckets: int, least: int = 3, most: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, lengths): for each word in turn the rows of the character n-grams of ``<word>`` and of the word itself.
 
-    def number(self, word: str) -> int:
-        k = self.ids.get(word)
-        if k is None:
-            k = self.ids[word] = len(self.ids)
-            rows = subwords(word, self.buckets)
-            self.rows += rows
-            self.lengths.append(len(rows))
-        return k
+    Hashes are polynomials of the code points, taken over all words at once; of very long words, too.
+    """
+    marked = [f"<{w}>" for w in words]
+    sizes = np.array([len(m) for m in marked])
+    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    whole = np.zeros(len(words), dtype=np.uint64)
+    place = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    power = np.cumprod(np.full(int(sizes.max(initial=1)), 1099511628211, dtype=np.uint64))
+    np.add.at(whole, owner, points * power[place])
+    hashes, owners = [whole], [np.arange(len(words))]
+    for n in range(least, most + 1):
+        if len(points) < n:
+            break
+        h = np.full(len(points) - n + 1, n, dtype=np.uint64)
+        for j in range(n):
+            h = h * np.uint64(1000003) + points[j : len(points) - n + 1 + j]
+        inside = owner[: len(h)] == owner[n - 1 :]
+        hashes.append(h[inside])
+        owners.append(owner[: len(h)][inside])
+    h, o = np.concatenate(hashes), np.concatenate(owners)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    rows = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    return rows[np.argsort(o, kind="stable")], np.bincount(o, minlength=len(words))
 
 
 @dataclass
@@ -77,25 +81,32 @@ class Model:
     bias: float
     settings: Settings
 
+    def gains(self, words: list[str], part: int = 20_000) -> np.ndarray:
+        """Mean gain of each word's subwords."""
+        out = [np.zeros(0)]
+        for at in range(0, len(words), part):
+            rows, lengths = subwords(words[at : at + part], self.settings.buckets)
+            out.append(np.add.reduceat(self.gain[rows], np.cumsum(lengths) - lengths) / lengths)
+        return np.concatenate(out)
+
     def logits(self, texts: Iterable[str | None], cache: dict[str, float] | None = None, most_cached: int = 500_000) -> np.ndarray:
         cache = {} if cache is None else cache
         width, out = self.settings.segment, []
-        for text in texts:
-            found = word_list(text)
-            if not found:
-                out.append(min(self.bias, -2.2))  # nothing in it is toxic: 0.1 at most
-                continue
-            gains = np.empty(len(found))
-            for i, w in enumerate(found):
-                g = cache.get(w)
-                if g is None:
-                    g = float(self.gain[subwords(w, self.settings.buckets)].mean())
-                    if len(cache) < most_cached:
-                        cache[w] = g
-                gains[i] = g
-            starts = np.arange(0, len(gains), width)
-            counts = np.minimum(width, len(gains) - starts)
-            out.append(float((np.add.reduceat(gains, starts) / np.maximum(counts, width // 2)).max()) + self.bias)
+        texts = iter(texts)
+        while some := list(islice(texts, 256)):
+            found = [word_list(t) for t in some]
+            if len(cache) > most_cached:
+                cache.clear()
+            new = list({w for ws in found for w in ws if w not in cache})
+            cache.update(zip(new, self.gains(new).tolist(), strict=True))
+            for ws in found:
+                if not ws:
+                    out.append(min(self.bias, -2.2))  # nothing in it is toxic: 0.1 at most
+                    continue
+                gains = np.fromiter(map(cache.__getitem__, ws), dtype=float, count=len(ws))
+                starts = np.arange(0, len(gains), width)
+                counts = np.minimum(width, len(gains) - starts)
+                out.append(float((np.add.reduceat(gains, starts) / np.maximum(counts, width // 2)).max()) + self.bias)
         return np.array(out, dtype=float)
 
     def scores(self, texts: Iterable[str | None], cache: dict[str, float] | None = None) -> np.ndarray:
@@ -108,14 +119,19 @@ def train(texts: list[str | None], labels: list[int], settings: Settings = Setti
     share = (y.sum() + 1) / (len(y) + 2)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(settings.buckets, dtype=np.float32), float(np.log(share / (1 - share))), settings)
-    vocabulary, segments, owner = Vocabulary(settings.buckets), [], []
+    numbered: dict[str, int] = {}
+    segments, owner = [], []
     for k, text in enumerate(texts):
-        numbers = [vocabulary.number(w) for w in word_list(text)]
+        numbers = [numbered.setdefault(w, len(numbered)) for w in word_list(text)]
         for at in range(0, len(numbers), settings.segment):
             segments.append(np.array(numbers[at : at + settings.segment], dtype=np.int32))
             owner.append(k)
     owner = np.array(owner, dtype=np.int64)
-    flat, lengths = np.array(vocabulary.rows, dtype=np.int32), np.array(vocabulary.lengths)
+    if not segments:
+        return Model(np.zeros(settings.buckets, dtype=np.float32), float(np.log(share / (1 - share))), settings)
+    vocabulary = list(numbered)
+    pieces = [subwords(vocabulary[at : at + 20_000], settings.buckets) for at in range(0, len(vocabulary), 20_000)]
+    flat, lengths = np.concatenate([r for r, _ in pieces]), np.concatenate([n for _, n in pieces])
     begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     rng = np.random.default_rng(settings.seed)
     table = rng.uniform(-1 / settings.dim, 1 / settings.dim, (settings.buckets, settings.dim)).astype(np.float32)
