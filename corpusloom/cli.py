@@ -78,12 +78,14 @@ def _answer(spark: SparkSession, rows: DataFrame, args, query: str) -> list[dict
 def shown(results: list[dict], detailed: bool = False) -> str:
     """Results for reading: rank, source, title, similarity, date, id, and on request the text."""
     lines = []
-    for k, r in enumerate(results, 1):
-        rank = f"  Rerank: {r['rerank_score']:.3f}" if r.get("rerank_score") is not None else ""
-        lines.append(f"{k}. [{(r.get('source') or 'unknown').upper()}] {r.get('title') or r['id']}  Sim: {r['similarity']:.3f}{rank}")
-        lines.append(f"   {r.get('date') or ''}  {r['id']}")
-        if detailed:
-            lines.append(f"   {r.get('text', '')}")
+    for place, row in enumerate(results, 1):
+        name = (row.get("source") or "unknown").upper()
+        scores = f"Sim: {row['similarity']:.3f}"
+        if (again := row.get("rerank_score")) is not None:
+            scores += f"  Reranked: {again:.3f}"
+        lines += [f"{place}. [{name}] {row.get('title') or row['id']}  {scores}", f"   {row.get('date') or ''}  {row['id']}"]
+        if detailed and row.get("text"):
+            lines.append("   " + row["text"])
     return "\n".join(lines)
 
 

@@ -18,6 +18,7 @@ from .packing import CHARS_PER_TOKEN, MAX_CHARS, manifest_text, pack_batches
 
 Generate = Callable[[str], str]
 NO_ENTRIES = "No entries match."
+RETRY_AFTER = re.compile("retry" + r"(Delay|)" + r"[:\s\"]*" + r"(?P<seconds>[0-9]+)")
 
 
 class Overflow(Exception):
@@ -29,8 +30,9 @@ class RateLimited(Exception):
 
 
 def retry_delay(message: str, default: float = 15.0) -> float:
-    found = re.search(r'retry(?:Delay)?["\s:]*(\d+)', message)
-    return float(found[1]) if found else default
+    """Seconds named behind ``retry`` or ``retryDelay`` in a provider's message."""
+    named = RETRY_AFTER.search(message)
+    return float(named["seconds"]) if named else default
 
 
 def is_contextualized():
@@ -106,11 +108,16 @@ def answer_batch(generate: Generate, question: str, text: str, attempts: int = 5
             text, cut = text[: len(text) // 2], True
 
 
+def _outcome(answer: str, model: str, batches: list = []) -> dict:  # noqa: B006 - never changed
+    totals = {key: sum(b[column] for b in batches) for key, column in (("entries", "entries"), ("tokens_used", "est_tokens"))}
+    return dict(answer=answer, model=model, batches=len(batches), **totals)
+
+
 def answer_corpus(entries: DataFrame, question: str, generate: Generate, sources: set[str] | None = None, max_chars: int = MAX_CHARS, workers: int = 2, model: str = "") -> dict:
     """Map over packed batches, reduce to one answer. ``workers`` bounds the calls at a time (the provider's quota)."""
     rows = entries.where(F.col("source").isin(sorted(sources))) if sources else entries
     if rows.isEmpty():
-        return {"answer": NO_ENTRIES, "model": model, "batches": 0, "entries": 0, "tokens_used": 0}
+        return _outcome(NO_ENTRIES, model)
     batches = pack_batches(rows, max_chars)
     outline = manifest_text(rows)
 
@@ -122,7 +129,7 @@ def answer_corpus(entries: DataFrame, question: str, generate: Generate, sources
     got = sorted(mapped.collect(), key=lambda r: r.batch_id)  # one answer a batch
     answers = [a for r in got for a in r.answers]
     final = answers[0] if len(answers) == 1 else generate(f"{question}\n\nCombine these partial answers, in order:\n" + "\n---\n".join(answers))
-    return {"answer": final, "model": model, "batches": len(got), "entries": sum(r.entries for r in got), "tokens_used": sum(r.est_tokens for r in got)}
+    return _outcome(final, model, got)
 
 
 def tokens_of(chars: int) -> int:

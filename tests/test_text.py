@@ -121,7 +121,7 @@ def test_bm25_agrees_with_an_independent_engine(spark):
     other = sqlite3.connect(":memory:")
     other.execute("CREATE VIRTUAL TABLE f USING fts5(title, text, source, tokenize='porter unicode61')")
     for i, title, body, source in rows:
-        other.execute("INSERT INTO f(rowid, title, text, source) VALUES (?, ?, ?, ?)", (i, title, body, source or ""))
+        other.execute("INSERT INTO f(title, text, source, rowid) VALUES (:t, :x, :s, :i)", {"i": i, "t": title, "x": body, "s": source or ""})
     index = bm25.build(spark.createDataFrame(rows, "idx long, title string, text string, source string"))
     index.postings.cache()
     for query in ASKED:
