@@ -34,7 +34,7 @@ def joined(spans: list[pii.Span]) -> str:
 
 
 def redact_rows(docs: DataFrame, model: pii.Field) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind in brackets, and ``n_chars`` to match.
+    """``docs`` with every span of ``text`` replaced by its kind in brackets, and ``n_chars``, where there is one, to match.
 
     Overlapping spans are replaced as one, under the kind of the first. Null texts stay null.
     """
@@ -51,9 +51,9 @@ def redact_rows(docs: DataFrame, model: pii.Field) -> DataFrame:
                     if start >= done:
                         out += [text[done:start], f"[{kind.upper()}]"]
                     done = max(done, end)
-                batch.at[i, "text"] = "".join(out) + text[done:]
-            if "n_chars" in batch:
-                batch["n_chars"] = batch["text"].map(len, na_action="ignore").astype("Int64")
+                batch.at[i, "text"] = masked = "".join(out) + text[done:]
+                if "n_chars" in batch:
+                    batch.at[i, "n_chars"] = len(masked)
             yield batch
 
     return docs.mapInPandas(run, docs.schema)

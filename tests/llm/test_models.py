@@ -131,6 +131,6 @@ def test_field_carries_labels_between_distant_doubles():
 def test_masks(spark):
     from corpusloom.llm.op10 import redact_rows
 
-    rows = [(1, "x a@b.cd y 10.0.0.1", 3), (2, None, None), (3, "", 0), (4, "plain", 5)]
+    rows = [(1, "x a@b.cd y 10.0.0.1", 19), (2, None, None), (3, "", 0), (4, "plain", 5)]
     got = {r.doc_id: (r.text, r.n_chars) for r in redact_rows(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), pii.train([])).collect()}
     assert got == {1: ("x [EMAIL] y [IP]", 16), 2: (None, None), 3: ("", 0), 4: ("plain", 5)}

@@ -14,6 +14,7 @@ def corpus(spark, tmp_path_factory):
     rows = [(i, line(80), "en", f"s{i % 4}", 0) for i in range(200)]
     toxic = set(range(0, 200, 5))
     rows = [(i, t + " me@example.com", *r) for i, t, *r in rows]
+    rows = [(i, t, lang, source, len(t)) for i, t, lang, source, _ in rows]
     rows = [(i, t + " filthword scumlike filthword rottenish" if i in toxic else t, *r) for i, t, *r in rows]
     items = [(k, line(25)) for k in range(5)]
     rows += [(300 + k, line(60) + " " + items[k][1] + " " + line(60), "en", "s1", 0) for k in range(5)]
