@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm.chaining import Fenwick, Settings, chains, common, repeated_passages, seeds
+from corpusloom.llm.chaining import Fenwick, Settings, chains, common, covering_runs, matched_runs, repeated_passages, seeds
 from corpusloom.llm.decontamination import Benchmark, find_leaks, within
 from corpusloom.llm.tokens import Codes, shingles
 
@@ -111,3 +111,31 @@ def test_leaks(spark):
     assert not [d for d, _ in found if d < 100 or d > 301]
     assert {(r.doc_id, r.item_id) for r in find_leaks(docs, bench, most_items=7).collect()} == set(found)
     assert find_leaks(docs, bench.limit(0)).count() == 0 and find_leaks(docs.limit(0), bench).count() == 0
+
+
+def test_texts_that_repeat_inside_are_compared_whole(spark):
+    rng = random.Random(8)
+    line, stock = " ".join(words(rng, 30)), [" ".join(words(rng, 20)) for _ in range(9)]
+    rows = [(i, " ".join([line] * 5)) for i in (1, 2, 3)] + [(9, "same word " * 2000), (10, "same word " * 1500)]
+    # Each stock line is shared with other documents before and between those that share a passage of three.
+    for at, lines in enumerate((stock[:3], stock[3:6], stock[6:])):
+        for k, x in enumerate(lines):
+            rows += [(100 * at + 20 + k, " ".join([*words(rng, 60), x])), (100 * at + 50 + k, " ".join([*words(rng, 60), x]))]
+        rows += [(100 * at + n, " ".join([*words(rng, 40), *lines, *words(rng, 40)])) for n in (40, 70)]
+    found = repeated_passages(spark.createDataFrame(rows, DOCS)).collect()
+    whole = {(r.doc_id, r.other_id) for r in found if r.n_words == 150 and r.identity == 1.0}
+    assert {d for d, _ in whole} == {2, 3}
+    assert max(r.n_words for r in found if r.doc_id == 10) == 3000
+    assert {(r.doc_id, r.other_id) for r in found if r.doc_id > 10} == {(100 * at + 70, 100 * at + 40) for at in range(3)}
+
+
+def test_covering_runs_miss_no_word_of_a_common_run():
+    import numpy as np
+
+    rng = random.Random(9)
+    for _ in range(60):
+        a, b = (np.array([rng.randrange(2) for _ in range(rng.randrange(3, 60))], dtype="<u4") for _ in range(2))
+        cover = lambda runs, side: {r[side] + t for r in runs for t in range(r[2])}
+        every, few = matched_runs(a, b, 3, dense=10**6), covering_runs(a, b, 3)
+        assert all((a[x : x + n] == b[y : y + n]).all() for x, y, n in every + few)
+        assert cover(every, 0) == cover(few, 0) and cover(every, 1) == cover(few, 1)
