@@ -1,19 +1,21 @@
-"""Benchmark decontamination by SimHash of item-sized windows.
+"""Benchmark decontamination by item-sized windows.
 
-Items and windows are weighted sets of word shingles (weight: rarity among the items). Each window of a text
-that is as long as an item gets a 64-bit SimHash. The fingerprints of the items lie in a multi-index: four blocks of
-16 bits, each entered with all values up to radius / 4 bits away, so by the pigeonhole principle every item
-within the radius of a window shares an entry with it. Candidates are verified by the exact weighted Jaccard
-similarity of their shingles.
+Items and windows are weighted sets of word shingles (weight: rarity among the items). A window of a text that is as
+long as an item can only reach the similarity to it if its shared shingles weigh that share of the item; windows that
+do are verified by the exact weighted Jaccard similarity of their shingles, so none that reaches it is lost. The SimHash
+of a window found gives its Hamming distance to the item, which says how alike they are but decides nothing: at a
+similarity of 0.35, no radius short of half the bits covers all.
 
-A window can only reach the similarity if its shared shingles weigh that share of the item, so windows that don't
-are left out before fingerprints are made; that loses nothing.
+The fingerprints of the items can be searched through a multi-index: four blocks of
+16 bits, each entered with all values up to radius / 4 bits away, so by the pigeonhole principle every item
+within the radius of a fingerprint shares an entry with it. It is made when first asked for; texts are searched without it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
@@ -62,7 +64,7 @@ def count_shingles(rows: list[tuple[int, np.ndarray]], k: int, before: tuple[int
 
 @dataclass
 class Benchmark:
-    """The items, ready to be searched for. Size: about 40 KB an item at radius 19."""
+    """The items, ready to be searched for."""
 
     ids: list[int]
     sizes: np.ndarray
@@ -72,7 +74,6 @@ class Benchmark:
     known: np.ndarray
     owners: list[list[int]]
     weights: np.ndarray
-    index: list[tuple[np.ndarray, np.ndarray]]
     k: int
     radius: int
     threshold: float
@@ -96,14 +97,19 @@ class Benchmark:
             sets.append(dict(zip(s.tolist(), weights[at].tolist(), strict=True)))
             totals.append(weights[at].sum())
             prints.append(_pack((_signs(s) * weights[at][:, None]).sum(axis=0)))
-        masks = np.array(list(within(0, radius // BLOCKS)), dtype=np.uint16)
+        return cls([i for i, _ in rows], np.array([len(c) for _, c in rows], dtype=int), sets, np.array(totals), np.array(prints, dtype=np.uint64), known, owners, weights, k, radius, threshold)
+
+    @cached_property
+    def index(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The multi-index. Size: about 40 KB an item at radius 19."""
+        masks = np.array(list(within(0, self.radius // BLOCKS)), dtype=np.uint16)
         index = []
         for b in range(BLOCKS):  # the entries of all values, end to end, and where each value's begin
-            values = ((np.array(prints, dtype=np.uint64) >> np.uint64(BLOCK_BITS * b)) & np.uint64(0xFFFF)).astype(np.uint16)
+            values = ((self.prints >> np.uint64(BLOCK_BITS * b)) & np.uint64(0xFFFF)).astype(np.uint16)
             entries = (values[:, None] ^ masks).ravel()
             order = np.argsort(entries, kind="stable")
-            index.append((np.searchsorted(entries[order], np.arange((1 << BLOCK_BITS) + 1)), np.repeat(np.arange(len(prints), dtype=np.int32), len(masks))[order]))
-        return cls([i for i, _ in rows], np.array([len(c) for _, c in rows], dtype=int), sets, np.array(totals), np.array(prints, dtype=np.uint64), known, owners, weights, index, k, radius, threshold)
+            index.append((np.searchsorted(entries[order], np.arange((1 << BLOCK_BITS) + 1)), np.repeat(np.arange(len(self.prints), dtype=np.int32), len(masks))[order]))
+        return index
 
     def search(self, codes: np.ndarray) -> list[tuple[int, int, int, int, float]]:
         """(item number, start, words, hamming, similarity) of the best window of each item found in a text."""
@@ -152,25 +158,21 @@ class Benchmark:
         run = np.concatenate([[0], np.cumsum(weights)])
         weight = run[np.searchsorted(places, starts + width)] - run[np.searchsorted(places, starts)]
         starts = starts[weight >= need]
-        best = None
+        best, own = None, self.sets[n]
         for at in starts:
             window = np.unique(s[at : at + width])
             pos = np.minimum(np.searchsorted(self.known, window), len(self.known) - 1)
             common = np.where(self.known[pos] == window, self.weights[pos], self.weights.max())  # shingles that no item has are the rarest
-            fingerprint = int(_pack((_signs(window) * common[:, None]).sum(axis=0)))
-            if n not in self.near(fingerprint):
-                continue
-            apart = (fingerprint ^ int(self.prints[n])).bit_count()
-            if apart > self.radius:
-                continue
-            own = self.sets[n]
-            shared = sum(own.get(int(x), 0.0) for x in window)
+            shared = sum(own.get(x, 0.0) for x in window.tolist())
             similarity = shared / (float(common.sum()) + float(self.totals[n]) - shared)
-            if similarity >= self.threshold and (best is None or (similarity, -apart) > (best[4], -best[3])):
-                best = (n, int(at), int(self.sizes[n]), apart, round(float(similarity), 6))
+            if similarity < self.threshold or (best is not None and similarity < best[0]):
+                continue
+            apart = (int(_pack((_signs(window) * common[:, None]).sum(axis=0))) ^ int(self.prints[n])).bit_count()
+            if best is None or (similarity, -apart) > (best[0], -best[1]):
+                best = (similarity, apart, int(at))
                 if similarity >= 1 - 1e-9:
                     break
-        return best
+        return best and (n, best[2], int(self.sizes[n]), best[1], round(float(best[0]), 6))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", most_items: int = 2000, **settings) -> DataFrame:

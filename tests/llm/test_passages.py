@@ -139,3 +139,24 @@ def test_covering_runs_miss_no_word_of_a_common_run():
         every, few = matched_runs(a, b, 3, dense=10**6), covering_runs(a, b, 3)
         assert all((a[x : x + n] == b[y : y + n]).all() for x, y, n in every + few)
         assert cover(every, 0) == cover(few, 0) and cover(every, 1) == cover(few, 1)
+
+
+def test_every_window_that_reaches_the_similarity_is_found():
+    import numpy as np
+
+    rng, codes_of = random.Random(10), Codes()
+    items = [(i, " ".join(words(rng, 30))) for i in range(40)]
+    b, reached = Benchmark.build(items), 0
+    for n, (_, text) in enumerate(items):
+        copy = [w if rng.random() > 0.12 else f"z{rng.randrange(10**6)}" for w in text.split()]
+        codes = codes_of.of(" ".join(words(rng, 20) + copy + words(rng, 20)))
+        best = 0.0
+        for at in range(len(codes) - 29):
+            window = {int(x) for x in np.unique(shingles(codes[at : at + 30], 3))}
+            shared = sum(b.sets[n].get(x, 0.0) for x in window)
+            rest = sum(b.weights[np.searchsorted(b.known, np.uint64(x))] if np.uint64(x) in b.known else b.weights.max() for x in window)
+            best = max(best, shared / (rest + b.totals[n] - shared))
+        found = {i: similarity for i, _, _, _, similarity in b.search(codes)}
+        assert (n in found) == (best >= b.threshold) and abs(found.get(n, best) - best) < 1e-5
+        reached += n in found
+    assert reached >= 20
