@@ -15,6 +15,8 @@ from ..functions import vectors
 from ..schema import FILE_SCHEMA, as_entries, as_json, is_valid, known_source
 
 DEFAULT_DIM = 768
+#: Ends the first line of a single-file index with an entry a line.
+ENTRIES = ',"entries":['
 
 
 def with_positions(df: DataFrame, column: str = "idx") -> DataFrame:
@@ -87,6 +89,8 @@ def write_index(df: DataFrame, path: str, metadata: dict | None = None) -> dict:
 
 def read_metadata(spark: SparkSession, path: str) -> dict:
     if path.endswith(".json"):
+        if (head := _head(spark, path)) is not None:
+            return head
         row = spark.read.option("multiLine", True).option("singleVariantColumn", "v").json(path).select(F.to_json(F.variant_get("v", "$.metadata", "variant")).alias("m")).first()
         return json.loads(row.m) if row and row.m else {}
     return json.loads(spark.read.text(f"{path}/metadata").first()["value"])
@@ -102,22 +106,42 @@ def read_index(spark: SparkSession, path: str, sources: set[str] | list[str] | N
     return rows.drop("source_part")
 
 
+def _head(spark: SparkSession, path: str) -> dict | None:
+    """The metadata of a single JSON file with an entry a line, as ``write_json_index`` lays it out; None of any other."""
+    row = spark.read.text(path).first()
+    if not row or not row.value.startswith('{"metadata":') or not row.value.endswith(ENTRIES):
+        return None
+    try:
+        return json.loads(row.value + "]}")["metadata"]
+    except ValueError:
+        return None
+
+
 def read_json_index(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a single JSON file ``{metadata, entries: [...]}``, with their places in it."""
+    """Entries of a single JSON file ``{metadata, entries: [...]}``, with their places in it. Files with an entry a line are
+    read in parts; any other is one row of one task."""
+    if _head(spark, path) is not None:
+        lines = spark.read.text(path).where(F.col("value").startswith("{") & ~F.col("value").endswith(ENTRIES) | F.col("value").startswith(",{"))
+        return as_entries(with_positions(lines.select(F.from_json(F.ltrim(F.col("value"), F.lit(",")), FILE_SCHEMA).alias("e")).select("e.*")))
     schema = T.StructType([T.StructField("entries", T.ArrayType(FILE_SCHEMA))])
     whole = spark.read.schema(schema).option("multiLine", True).json(path)
     return as_entries(whole.select(F.posexplode("entries").alias("idx", "e")).select(F.col("idx").cast("long").alias("idx"), "e.*"))
 
 
 def write_json_index(df: DataFrame, path: str, metadata: dict | None = None) -> dict:
-    """One JSON file of the whole index: an exchange format for indices that one task can hold."""
+    """One JSON file of the whole index, an entry a line: one task sorts the entries (on disk, if need be) and streams them."""
     rows = as_entries(df)
     values = Metadata(metadata or {}).with_counts(*_summary(rows))
     at = F.col("idx") if "idx" in rows.columns else F.monotonically_increasing_id()
-    bodies = rows.select(at.alias("at"), F.struct(*[F.col(c) for c in FILE_SCHEMA.names]).alias("e"))
-    listed = bodies.agg(F.array_sort(F.collect_list(F.struct("at", F.to_json("e").alias("j")))).alias("rows"))
-    text = listed.select(F.concat(F.lit('{"metadata":' + json.dumps(values) + ',"entries":['), F.array_join(F.transform("rows", lambda r: r["j"]), ","), F.lit("]}")).alias("value"))
-    text.coalesce(1).write.mode("overwrite").text(path)
+    bodies = rows.select(at.alias("at"), F.to_json(F.struct(*[F.col(c) for c in FILE_SCHEMA.names])).alias("j")).repartition(1).sortWithinPartitions("at", "j")
+    n, head = values["total_entries"], '{"metadata":' + json.dumps(values) + ENTRIES
+    if n:
+        placed = bodies.withColumn("n", F.monotonically_increasing_id())  # of the one partition: 0, 1, 2 ...
+        before = F.when(F.col("n") == 0, F.lit(head + "\n")).otherwise(F.lit(","))
+        text = placed.select(F.concat(before, "j", F.when(F.col("n") == n - 1, F.lit("\n]}")).otherwise(F.lit(""))).alias("value"))
+    else:
+        text = df.sparkSession.createDataFrame([(head + "\n]}",)], "value string").coalesce(1)
+    text.write.mode("overwrite").text(path)
     return values
 
 

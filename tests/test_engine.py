@@ -203,3 +203,30 @@ def test_answers_split_retry_and_reduce(spark, three):
 
     assert generate.answer_batch(limited, "Q", "### [s] a\n", wait=waits.append) == ["ok"] and waits == [7.0, 30.0]
     assert generate.retry_delay('{"retryDelay": "12s"}') == 12
+
+
+def test_single_file_json_is_streamed_in_order(spark, tmp_path):
+    rows = [(i, f"d{i}", f"line\n\"{i}\", ]}}" if i % 3 else '{"entries":[', [float(i), 0.5]) for i in range(500)]
+    df = spark.createDataFrame(rows, "idx long, id string, text string, embedding array<float>").repartition(7)
+    path = str(tmp_path / "x.json")
+    assert files.write_json_index(df, path)["total_entries"] == 500
+    (part,) = [f for f in os.listdir(path) if f.startswith("part-")]
+    with open(os.path.join(path, part)) as f:
+        whole = json.load(f)
+    assert [e["id"] for e in whole["entries"]] == [f"d{i}" for i in range(500)] and whole["metadata"]["embedding_dim"] == 2
+    with open(os.path.join(path, part)) as f:
+        assert max(len(x) for x in f) < 1000  # an entry a line, never all in one row
+    assert files.read_metadata(spark, path)["total_entries"] == 500
+    assert [(r.idx, r.id, r.text, list(r.embedding)) for r in files.read_json_index(spark, path).orderBy("idx").collect()] == rows
+    files.write_json_index(df.limit(0), path)
+    assert files.read_json_index(spark, path).count() == 0 and files.read_metadata(spark, path)["total_entries"] == 0
+
+
+def test_json_round_trip_writes_the_whole_corpus(spark, monkeypatch):
+    from corpusloom.plans import roster
+
+    written = []
+    monkeypatch.setattr(files, "write_json_index", lambda df, path, metadata=None, write=files.write_json_index: written.append(write(df, path, metadata)))
+    sf = "/root/testdata/sf0.001"
+    assert roster.QUERIES["json_index_round_trip"](spark, sf).count() == 60
+    assert written[0]["total_entries"] == roster.corpus(spark, sf).count() > 60
