@@ -160,3 +160,17 @@ def test_every_window_that_reaches_the_similarity_is_found():
         assert (n in found) == (best >= b.threshold) and abs(found.get(n, best) - best) < 1e-5
         reached += n in found
     assert reached >= 20
+
+
+def test_fuzzy_passages_are_not_cut_by_the_span_of_their_seeds(spark):
+    rng = random.Random(11)
+    rows = []
+    for n in range(60):
+        core = words(rng, 60)
+        other = list(core)
+        for i in rng.sample(range(60), 12):
+            other[i] = f"z{rng.randrange(10**6)}"
+        rows += [(2 * n, " ".join(words(rng, 60) + core + words(rng, 60))), (2 * n + 1, " ".join(words(rng, 60) + other + words(rng, 60)))]
+    found = repeated_passages(spark.createDataFrame(rows, DOCS)).collect()
+    assert all(r.other_id == r.doc_id - 1 and r.identity >= 0.75 and r.n_words >= 50 for r in found)
+    assert len({r.doc_id for r in found}) >= 50  # the others have no seed in common
