@@ -60,6 +60,12 @@ def _emails(text: str) -> list[Span]:
     return out
 
 
+def _part(digits: str) -> bool:
+    """Whether a part of an IP address is at most 255; leading zeros count for nothing, however many there are."""
+    bare = digits.lstrip("0")
+    return len(bare) <= 3 and int(bare or "0") <= 255
+
+
 def base_spans(text: str | None) -> list[Span]:
     """The patterns' finds by kind in the order of KINDS, then start; code points, end exclusive."""
     if not text:
@@ -69,7 +75,7 @@ def base_spans(text: str | None) -> list[Span]:
     if not digit:
         return out
     first = digit.start()
-    out += [("ip", m.start(), m.end()) for m in IP.finditer(text, first) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", m.start(), m.end()) for m in IP.finditer(text, first) if all(_part(p) for p in m[0].split("."))]
     for m in CARD.finditer(text, first):
         digits = m[0].replace(" ", "").replace("-", "")
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -82,33 +88,33 @@ def base_spans(text: str | None) -> list[Span]:
 
 
 def _shape(token: str) -> str:
-    s = re.sub(r"[A-Z]+", "A", re.sub(r"[^\W\d_A-Z]+", "a", re.sub(r"[0-9]+", lambda m: "0" * min(len(m[0]), 4), token[:80])))
-    return s[:24]
+    """The token with its runs of letters and digits folded; runs of digits keep their length up to 4."""
+    return re.sub(r"[A-Z]+", "A", re.sub(r"[^\W\d_A-Z]+", "a", re.sub(r"[0-9]+", lambda m: "0" * min(len(m[0]), 4), token)))
 
 
 def _features(tokens: list[str], k: int) -> list[str]:
     t = tokens[k]
     digits = sum("0" <= c <= "9" for c in t)
-    return [f"s:{_shape(t)}", f"d:{min(digits, 20)}", f"n:{min(len(t) // 4, 12)}", f"at:{t.count('@')}", f"dot:{min(t.count('.'), 5)}", f"p:{t[0] == '+'}", f"b:{tokens[k - 1][:12].lower() if k else ''}", "1"]
+    return [f"s:{_shape(t)}", f"d:{min(digits, 20)}", f"n:{min(len(t) // 4, 12)}", f"at:{t.count('@')}", f"dot:{min(t.count('.'), 5)}", f"p:{t[0] == '+'}", f"b:{tokens[k - 1].lower() if k else ''}", "1"]
 
 
-def _skips(tokens: list[str], where: list[int], most: int = 3) -> list[tuple[int, int]]:
-    """Edges between each candidate and the candidate before it that is the same or similar.
+def _skips(tokens: list[str], where: list[int]) -> list[tuple[int, int]]:
+    """Edges between each candidate and those before it that are the same or similar.
 
-    A token is linked with the last one of each of its keys (the token, its trimmed form, its shape with its
-    longest part), so edges grow with the tokens, not with the pairs, while all tokens of a key hang together.
+    A token is linked with the first and the last one of each of its keys (the token, its trimmed form, its shape with its
+    longest part), so edges grow with the tokens, not with the pairs, and any two tokens of a key are two steps apart.
     """
-    last: dict[str, int] = {}
+    seen: dict[str, tuple[int, int]] = {}
     edges = set()
     for i, k in enumerate(where):
         t = tokens[k]
         bare = t.strip(".,;:!?()[]\"'<>")
         parts = [p for p in re.split(r"[^A-Za-z0-9]+", bare) if len(p) >= 4]
         keys = {f"t:{t}", f"b:{bare}"} | ({f"p:{max(parts, key=len)}:{_shape(bare)}"} if parts else set())
-        for key in sorted(keys)[:most]:
-            if key in last and last[key] != i - 1:
-                edges.add((last[key], i))
-            last[key] = i
+        for key in keys:
+            first, last = seen.get(key, (i, i))
+            edges.update((j, i) for j in {first, last} if k - where[j] > 1)
+            seen[key] = (first, i)
     return sorted(edges)
 
 
@@ -121,42 +127,54 @@ class Field:
     unary: np.ndarray | None = None
     chain: np.ndarray | None = None
     skip: np.ndarray | None = None
-    rounds: int = 12
+    #: Messages stop sooner where they have settled.
+    rounds: int = 30
 
     def potentials(self, tokens: list[str], where: list[int]) -> tuple[np.ndarray, list[list[int]]]:
         ids = [[self.names[f] for f in _features(tokens, k) if f in self.names] for k in where]
         return np.array([self.unary[i].sum(axis=0) for i in ids]).reshape(len(where), self.labels), ids
 
-    def marginals(self, unary: np.ndarray, edges: list[tuple[int, int, bool]]) -> tuple[np.ndarray, np.ndarray]:
-        """Beliefs of the nodes and of the edges, by damped sum-product messages in the log domain."""
-        n, m = len(unary), len(edges)
+    def marginals(self, unary: np.ndarray, edges: list[tuple[int, int, bool]], joint: bool = True, part: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+        """Beliefs of the nodes and, if asked for, of the edges, by damped sum-product messages in the log domain.
+
+        Messages are computed for ``part`` edges at a time, so that memory beyond two short vectors an edge doesn't grow.
+        """
+        n, m, labels = len(unary), len(edges), self.labels
         if not m:
-            return _softmax(unary), np.zeros((0, self.labels, self.labels))
-        a, b = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
-        pair = np.array([self.skip if e[2] else self.chain for e in edges])
-        forth, back = np.zeros((m, self.labels)), np.zeros((m, self.labels))
+            return _softmax(unary), np.zeros((0, labels, labels))
+        a, b, far = (np.array(x) for x in zip(*edges, strict=True))
+        pairs = np.stack([self.chain, self.skip])[:, None]
+        parts = [slice(s, s + part) for s in range(0, m, part)]
+        forth, back = np.zeros((m, labels)), np.zeros((m, labels))
+
+        def beliefs() -> np.ndarray:
+            out = unary.copy()
+            np.add.at(out, b, forth)
+            np.add.at(out, a, back)
+            return out
+
         for _ in range(self.rounds):
-            belief = unary.copy()
-            np.add.at(belief, b, forth)
-            np.add.at(belief, a, back)
-            new_forth = _logsum(pair + (belief[a] - back)[:, :, None], 1)
-            new_back = _logsum(pair + (belief[b] - forth)[:, None, :], 2)
-            new_forth -= new_forth.max(axis=1, keepdims=True)
-            new_back -= new_back.max(axis=1, keepdims=True)
-            moved = max(np.abs(new_forth - forth).max(), np.abs(new_back - back).max())
-            forth, back = 0.3 * forth + 0.7 * new_forth, 0.3 * back + 0.7 * new_back
+            belief, moved = beliefs(), 0.0
+            for s in parts:
+                pair = pairs[far[s].astype(int), 0]
+                new_forth = _logsum(pair + (belief[a[s]] - back[s])[:, :, None], 1)
+                new_back = _logsum(pair + (belief[b[s]] - forth[s])[:, None, :], 2)
+                new_forth -= new_forth.max(axis=1, keepdims=True)
+                new_back -= new_back.max(axis=1, keepdims=True)
+                moved = max(moved, np.abs(new_forth - forth[s]).max(), np.abs(new_back - back[s]).max())
+                forth[s], back[s] = 0.3 * forth[s] + 0.7 * new_forth, 0.3 * back[s] + 0.7 * new_back
             if moved < 1e-3:
                 break
-        belief = unary.copy()
-        np.add.at(belief, b, forth)
-        np.add.at(belief, a, back)
-        joint = pair + (belief[a] - back)[:, :, None] + (belief[b] - forth)[:, None, :]
-        joint = np.exp(joint - joint.max(axis=(1, 2), keepdims=True))
-        return _softmax(belief), joint / joint.sum(axis=(1, 2), keepdims=True)
+        belief = beliefs()
+        if not joint:
+            return _softmax(belief), np.zeros((0, labels, labels))
+        both = pairs[far.astype(int), 0] + (belief[a] - back)[:, :, None] + (belief[b] - forth)[:, None, :]
+        both = np.exp(both - both.max(axis=(1, 2), keepdims=True))
+        return _softmax(belief), both / both.sum(axis=(1, 2), keepdims=True)
 
     def label(self, tokens: list[str], where: list[int], edges: list[tuple[int, int, bool]]) -> np.ndarray:
         """Probabilities of the labels of the candidate tokens."""
-        return self.marginals(self.potentials(tokens, where)[0], edges)[0]
+        return self.marginals(self.potentials(tokens, where)[0], edges, joint=False)[0]
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:

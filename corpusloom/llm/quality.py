@@ -39,7 +39,7 @@ class Settings:
 def shape(word: str) -> str:
     for pattern, to in _SHAPES:
         word = pattern.sub(to, word)
-    return re.sub(r"(.)\1+", r"\1\1", word[:24])
+    return re.sub(r"(.)\1+", r"\1\1", word)
 
 
 def features(text: str | None, bits: int, cache: dict, most_cached: int = 500_000) -> list[np.ndarray]:

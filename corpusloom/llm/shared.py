@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,14 +19,17 @@ BROADCAST_IDS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` as the session has it.
+    """The folder all executors share: ``spark.checkpoint.dir`` as the session has it, else the context's own.
 
-    Where a session has none (tests, one machine), a local folder is set.
+    Where neither is set, a ``local`` master (tests, one machine) gets a temporary folder; a cluster is an error, as a
+    folder of one machine would be lost on all others.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom_"))
         folder = context._jsc.sc().getCheckpointDir().get()
     return folder.rstrip("/")

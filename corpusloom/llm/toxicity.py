@@ -22,17 +22,12 @@ _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters of training.
-
-    ``most_rows`` bounds the labelled sample that is fetched, ``most_segments`` the toxic segments that an epoch
-    learns from (three times as many clean ones go with them).
-    """
+    """Parameters of training. ``most_rows`` bounds the labelled sample that is fetched; all of its texts are learnt from as a whole."""
 
     most_rows: int = 4000
     buckets: int = 1 << 17
     dim: int = 8
     segment: int = 40
-    most_segments: int = 8000
     epochs: int = 5
     rate: float = 0.5
     seed: int = 5
@@ -166,7 +161,7 @@ def train(texts: list[str | None], labels: list[int], settings: Settings = Setti
             order = toxic[np.lexsort((-value[toxic], owner[toxic]))]
             toxic = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]
             toxic = np.repeat(toxic, 2)
-        toxic = rng.permutation(toxic)[: settings.most_segments]
+        toxic = rng.permutation(toxic)
         clean = np.flatnonzero(y[owner] == 0)
         hard = clean[np.argsort(-value[clean], kind="stable")[: len(toxic)]]
         some = np.concatenate([toxic, rng.choice(clean, min(len(clean), 2 * len(toxic)), replace=False), hard if epoch else hard[:0]])
