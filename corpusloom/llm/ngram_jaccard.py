@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import BROADCAST_IDS, WORD, keep_ids, lower_ascii, materialize, words
+from .shared import BROADCAST_IDS, WORD, keep_ids, lower_ascii, materialize, one_text_an_id, words
 
 MAX63 = "9223372036854775807L"
 #: A part of a component holds about so many keys, and a cell of it about twice so many shingles, besides a single longer set.
@@ -110,15 +110,6 @@ def sketch_rows(sets: DataFrame, percent: int) -> DataFrame:
     return keyed.withColumn("k3", F.expr(tokens)).select("id", F.expr(f"inline(concat({', '.join(parts)}))"))
 
 
-def _one_text_an_id(source: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows that repeat an id are one document, whose text is the least of them in order."""
-    repeated = materialize(texts.groupBy("id").count().where("count > 1").select("id"), "ng-repeated")
-    if repeated.limit(1).count() == 0:
-        return source
-    least = keep_ids(source, repeated, "id").groupBy("id").agg(F.min("text").alias("text"))
-    return keep_ids(source, repeated, "id", "left_anti").unionByName(least)
-
-
 def _with_ids(rows: DataFrame, of: DataFrame, key: str) -> DataFrame:
     """Join with a materialized table of one row an id, which is broadcast if its rows are few enough."""
     return rows.join(F.broadcast(of) if of.count() <= BROADCAST_IDS else of, key)
@@ -199,7 +190,7 @@ def jaccard_links(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n
         return materialize(found.where("digest IS NOT NULL"), "ng-texts")
 
     texts = digests(source)
-    single = _one_text_an_id(source, texts)
+    single = one_text_an_id(source, texts)
     if single is not source:
         source, texts = single, digests(single)
     classes = materialize(texts.groupBy("digest").agg(F.min("id").alias("rep")), "ng-classes")

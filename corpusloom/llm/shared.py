@@ -65,6 +65,18 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", mo
     return df.join(ids, key, how)
 
 
+def one_text_an_id(source: DataFrame, texts: DataFrame) -> DataFrame:
+    """``source`` (id, text) with one row for each id that ``texts`` has: rows that repeat one are the least of their texts.
+
+    Where no id repeats, ``source`` itself.
+    """
+    repeated = materialize(texts.groupBy("id").count().where("count > 1").select("id"), "repeated-ids")
+    if repeated.limit(1).count() == 0:
+        return source
+    least = keep_ids(source, repeated, "id").groupBy("id").agg(F.min("text").alias("text"))
+    return keep_ids(source, repeated, "id", "left_anti").unionByName(least)
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; empty for null or blank texts."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE_CHARS))

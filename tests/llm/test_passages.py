@@ -2,9 +2,10 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corpusloom.llm.chaining import Fenwick, Settings, chains, common, covering_runs, matched_runs, repeated_passages, seeds
+from corpusloom.llm.chaining import Fenwick, Settings, chains, common, covering_runs, linked, matched_runs, repeated_passages, seeds
 from corpusloom.llm.decontamination import Benchmark, find_leaks, within
 from corpusloom.llm.tokens import Codes, shingles
 
@@ -64,12 +65,108 @@ def test_planted_passages_are_found_and_clean_texts_left_alone(spark):
             assert text[r.doc_id].split()[r.start_word : r.end_word] == text[r.other_id].split()[r.other_start : r.other_end]
 
 
-def test_hot_seeds_in_parts(spark):
+def covered(found):
+    """Words of each document that lie in a passage found, in either role."""
+    out = {}
+    for r in found:
+        out.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+        out.setdefault(r.other_id, set()).update(range(r.other_start, r.other_end))
+    return out
+
+
+def test_hot_seeds_over_many_partitions(spark):
     rng = random.Random(4)
     shared = words(rng, 70)
-    rows = [(i, " ".join(words(rng, 20) + shared + words(rng, 20))) for i in range(60)]
-    found = repeated_passages(spark.createDataFrame(rows, DOCS), Settings(hot=7)).collect()
-    assert {r.doc_id for r in found} == set(range(1, 60))
+    rows = [(i, " ".join(words(rng, 20) + shared + words(rng, 20))) for i in range(300)]
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")  # a seed's rows are cut across partitions
+    try:
+        found = repeated_passages(spark.createDataFrame(rows, DOCS)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert set(covered(found)) == set(range(300)) and all(set(range(20, 90)) <= c for c in covered(found).values())
+    assert len(found) < 300 * 20  # not all pairs
+
+
+def test_rows_are_linked_with_the_row_before_whatever_the_batches():
+    rng = random.Random(8)
+    rows = sorted((rng.randrange(4), rng.randrange(3), rng.randrange(2), rng.randrange(5), i) for i in range(200))
+    names = ["seed", "near", "far", "doc_id", "at"]
+    want = set()
+    for i, r in enumerate(rows):
+        j = i - 1
+        while j >= 0 and rows[j][0] == r[0] and rows[j][3] == r[3]:
+            j -= 1
+        if j >= 0 and rows[j][0] == r[0]:
+            want.add((r[3], r[4], rows[j][3], rows[j][4]))
+    for size in (1, 2, 7, 200):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + size])], names=names) for at in range(0, 200, size)]
+        got = [x for b in linked(iter(batches), 3) for x in b.to_pylist()]
+        assert {(x["doc_id"], x["at"], x["other_id"], x["other_at"]) for x in got if x["edge"] < 0} == want
+        assert [(x["edge"], x["at"]) for x in got if x["edge"] >= 0] == [(6, rows[0][4]), (7, rows[-1][4])]
+    assert list(linked(iter([]), 0)) == []
+
+
+def test_no_passage_is_lost_to_documents_that_quote_a_part(spark):
+    rng = random.Random(9)
+    shared = words(rng, 120)
+    rows = [(100, " ".join(words(rng, 60) + shared + words(rng, 60))), (300, " ".join(words(rng, 50) + shared + words(rng, 70)))]
+    for k in range(14):
+        at = rng.randrange(90)
+        rows.append((50 + 20 * k, " ".join(words(rng, 40) + shared[at : at + 30] + words(rng, 40))))
+    found = repeated_passages(spark.createDataFrame(rows, DOCS)).collect()
+    assert [(r.doc_id, r.other_id, r.n_words, r.start_word, r.other_start) for r in found] == [(300, 100, 120, 50, 60)]
+
+
+def test_overlapping_quotes_against_all_pairs(spark):
+    rng = random.Random(10)
+    stock = [words(rng, 400) for _ in range(3)]
+    texts = {}
+    for i in range(200):
+        body = words(rng, rng.randrange(30))
+        for _ in range(rng.randrange(1, 4)):
+            line, at = rng.choice(stock), rng.randrange(340)
+            body += line[at : at + rng.randrange(20, 150)] + words(rng, rng.randrange(5, 30))
+        texts[i] = body
+    found = repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], DOCS)).collect()
+    got, sure = covered(found), 57  # 50 words and what the choice of seeds may leave before the first one
+    holders = {}
+    for i, t in texts.items():
+        for at in range(len(t) - sure + 1):
+            holders.setdefault(tuple(t[at : at + sure]), []).append((i, at))
+    lost = total = 0
+    for places in holders.values():
+        if len({i for i, _ in places}) > 1:
+            for i, at in places:
+                total += 1
+                lost += not set(range(at + 7, at + sure - 7)) <= got.get(i, set())
+    assert total > 5000 and lost == 0
+    assert all(r.identity >= 0.75 and r.n_words >= 50 for r in found)
+
+
+def test_texts_that_repeat_inside(spark):
+    rng = random.Random(11)
+    line = words(rng, 30)
+    rows = [(i, " ".join(line * 5)) for i in (7436, 8617, 8748)] + [(1, " ".join(words(rng, 150)))]
+    got = covered(repeated_passages(spark.createDataFrame(rows, DOCS)).collect())
+    assert set(got) == {7436, 8617, 8748} and all(len(c) == 150 for c in got.values())
+
+
+def test_fuzzy_passages(spark):
+    """Pairs of texts with one passage of some words, of which some are changed at random places."""
+    rng, rows, n = random.Random(12), [], 100
+    kinds = [(52, 4), (60, 6), (100, 15), (100, 20)]
+    for k, (size, changed) in enumerate(kinds):
+        for i in range(n):
+            passage = words(rng, size)
+            other = list(passage)
+            for at in rng.sample(range(size), changed):
+                other[at] = words(rng, 1, "z")[0]
+            rows += [(k * 1000 + 2 * i + j, " ".join(words(rng, 60) + p + words(rng, 60))) for j, p in enumerate((passage, other))]
+    found = {r.other_id for r in repeated_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    counts = [sum(k * 1000 <= i < k * 1000 + 1000 for i in found) for k in range(len(kinds))]
+    print("fuzzy passages found of", n, dict(zip(kinds, counts)))
+    assert all(c >= least for c, least in zip(counts, (90, 90, 90, 75)))
 
 
 def test_passages_at_the_edges(spark):
