@@ -101,10 +101,10 @@ def test_rows_are_linked_with_the_row_before_whatever_the_batches():
             want.add((r[3], r[4], rows[j][3], rows[j][4]))
     for size in (1, 2, 7, 200):
         batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + size])], names=names) for at in range(0, 200, size)]
-        got = [x for b in linked(iter(batches), 3) for x in b.to_pylist()]
+        got = [x for b in linked(iter(batches), 3, "far") for x in b.to_pylist()]
         assert {(x["doc_id"], x["at"], x["other_id"], x["other_at"]) for x in got if x["edge"] < 0} == want
         assert [(x["edge"], x["at"]) for x in got if x["edge"] >= 0] == [(6, rows[0][4]), (7, rows[-1][4])]
-    assert list(linked(iter([]), 0)) == []
+    assert list(linked(iter([]), 0, "far")) == []
 
 
 def test_no_passage_is_lost_to_documents_that_quote_a_part(spark):
