@@ -1,42 +1,46 @@
-"""Benchmark decontamination by item-sized windows.
+"""Benchmark decontamination by SimHash windows.
 
-Items and windows are weighted sets of word shingles (weight: rarity among the items). A window of a text that is as
-long as an item can only reach the similarity to it if its shared shingles weigh that share of the item; windows that
-do are verified by the exact weighted Jaccard similarity of their shingles, so none that reaches it is lost. The SimHash
-of a window found gives its Hamming distance to the item, which says how alike they are but decides nothing: at a
-similarity of 0.35, no radius short of half the bits covers all.
+An item is fingerprinted by the SimHash of its words (weight: rarity among the items), and so is every window of a text that is
+as long as an item of that length. The items' fingerprints are searched through a multi-index: four blocks of 16
+bits, each entered with all values up to radius / 4 bits away, so by the pigeonhole principle every item
+within the radius of a window's fingerprint shares an entry with it. The items found are verified by the exact
+weighted Jaccard similarity of word shingles.
 
-The fingerprints of the items can be searched through a multi-index: four blocks of
-16 bits, each entered with all values up to radius / 4 bits away, so by the pigeonhole principle every item
-within the radius of a fingerprint shares an entry with it. It is made when first asked for; texts are searched without it.
+A window that cannot be similar to any item is not fingerprinted: its shingles that some item has must weigh the
+threshold's share of the lightest item of that length. That drops no window that could be verified.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import cached_property
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize
 from .tokens import Codes, shingles
 
 BLOCKS, BLOCK_BITS = 4, 16
 SCHEMA = "doc_id long, item_id long, start_word int, n_words int, hamming int, similarity double"
+#: Windows of one text that are fingerprinted at a time.
+AT_ONCE = 4096
 
 
 def _signs(codes: np.ndarray) -> np.ndarray:
     mixed = codes * np.uint64(0xD6E8FEB86659FD93)
     mixed ^= mixed >> np.uint64(32)
-    return ((mixed[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.float32) * 2 - 1
+    mixed *= np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    return ((mixed[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.float64) * 2 - 1
 
 
 def _pack(sums: np.ndarray) -> np.ndarray:
-    return ((sums > 0).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=-1, dtype=np.uint64)
+    return ((sums > 1e-9).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=-1, dtype=np.uint64)
 
 
 def within(value: int, radius: int, bits: int = BLOCK_BITS) -> Iterator[int]:
@@ -47,19 +51,53 @@ def within(value: int, radius: int, bits: int = BLOCK_BITS) -> Iterator[int]:
 
 
 def coded(items: Iterable[tuple[int, str | None]]) -> list[tuple[int, np.ndarray]]:
-    """(id, word codes) of the items that have words, in order of id."""
+    """(id, word codes) of the items that have words, in order of id; rows that repeat an id and a text are one."""
     codes_of = Codes()
     rows = [(i, codes_of.of(t)) for i, t in sorted({x for x in items if x[0] is not None}, key=lambda x: (x[0], x[1] or ""))]
     return [(i, c) for i, c in rows if len(c)]
 
 
-def count_shingles(rows: list[tuple[int, np.ndarray]], k: int, before: tuple[int, np.ndarray, np.ndarray] | None = None) -> tuple[int, np.ndarray, np.ndarray]:
-    """(items, shingles, items that have each), with those counted before."""
-    total, all_, df = before or (0, np.zeros(0, np.uint64), np.zeros(0))
-    sets = [np.unique(shingles(c, k)) for _, c in rows]
-    joined, back = np.unique(np.concatenate([all_, *sets]), return_inverse=True)
-    weight = np.concatenate([df, np.ones(sum(map(len, sets)))])
-    return total + len(rows), joined, np.bincount(back, weight, len(joined)) if len(joined) else np.zeros(0)
+class Weights:
+    """Rarity of codes among the items: 1 + ln(items / items that have it); what no item has is as rare as can be."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, items: int):
+        order = np.argsort(codes)
+        self.codes, self.known = codes[order], 1 + np.log(np.maximum(items, 1) / np.maximum(counts[order], 1))
+        self.rest = 1 + float(np.log(max(items, 1)))
+
+    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weight, whether an item has it) of each code."""
+        if not len(self.codes):
+            return np.full(len(codes), self.rest), np.zeros(len(codes), dtype=bool)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        hit = self.codes[at] == codes
+        return np.where(hit, self.known[at], self.rest), hit
+
+
+def item_codes(codes: np.ndarray, k: int) -> np.ndarray:
+    """The distinct codes of an item that rarity is counted for: words, and shingles (of k words, or all where there are fewer)."""
+    return np.unique(np.concatenate([codes, shingles(codes, k)]))
+
+
+@dataclass
+class Length:
+    """The items of one number of words, and their multi-index: for each block the entries of all values end to end, and where each value's begin."""
+
+    items: np.ndarray
+    prints: np.ndarray
+    least: float
+    index: list[tuple[np.ndarray, np.ndarray]]
+
+    def near(self, fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(fingerprint number, item of this length) of all that share an entry: every pair within the radius, and some beyond."""
+        whose, which = [], []
+        for b, (begins, entries) in enumerate(self.index):
+            v = ((fingerprints >> np.uint64(BLOCK_BITS * b)) & np.uint64(0xFFFF)).astype(np.int64)
+            n = begins[v + 1] - begins[v]
+            whose.append(np.repeat(np.arange(len(v)), n))
+            which.append(entries[np.repeat(begins[v] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        pairs = np.unique(np.concatenate(whose) * len(self.items) + np.concatenate(which))
+        return pairs // len(self.items), pairs % len(self.items)
 
 
 @dataclass
@@ -67,139 +105,132 @@ class Benchmark:
     """The items, ready to be searched for."""
 
     ids: list[int]
-    sizes: np.ndarray
-    sets: list[dict[int, float]]
+    sets: list[tuple[np.ndarray, np.ndarray]]
     totals: np.ndarray
     prints: np.ndarray
-    known: np.ndarray
-    owners: list[list[int]]
-    weights: np.ndarray
+    lengths: dict[int, Length]
+    weights: Weights
     k: int
     radius: int
     threshold: float
 
     @classmethod
-    def build(cls, items: Iterable[tuple[int, str | None]], k: int = 3, radius: int = 19, threshold: float = 0.35, counts: tuple[int, np.ndarray, np.ndarray] | None = None) -> Benchmark:
-        """Items without words, and rows that repeat an id and a text, are left out. ``counts`` are those of ``count_shingles``
-        over all items, where these are a part of them, so that weights don't depend on the part."""
+    def build(cls, items: Iterable[tuple[int, str | None]], k: int = 2, radius: int = 19, threshold: float = 0.35, weights: Weights | None = None) -> Benchmark:
+        """Items without words are left out. ``weights`` are those of all items, where these are a part of them."""
         rows = coded(items)
-        total, all_, df_of = counts or count_shingles(rows, k)
+        if weights is None:
+            all_, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *(item_codes(c, k) for _, c in rows)]), return_counts=True)
+            weights = Weights(all_, counts, len(rows))
         own = [np.unique(shingles(c, k)) for _, c in rows]
-        known = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64))
-        df = df_of[np.searchsorted(all_, known)] if len(known) else np.zeros(0)
-        weights = 1 + np.log(max(1, total) / np.maximum(df, 1))
-        owners: list[list[int]] = [[] for _ in known]
-        sets, totals, prints = [], [], []
-        for n, s in enumerate(own):
-            at = np.searchsorted(known, s)
-            for a in at:
-                owners[a].append(n)
-            sets.append(dict(zip(s.tolist(), weights[at].tolist(), strict=True)))
-            totals.append(weights[at].sum())
-            prints.append(_pack((_signs(s) * weights[at][:, None]).sum(axis=0)))
-        return cls([i for i, _ in rows], np.array([len(c) for _, c in rows], dtype=int), sets, np.array(totals), np.array(prints, dtype=np.uint64), known, owners, weights, k, radius, threshold)
-
-    @cached_property
-    def index(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The multi-index. Size: about 40 KB an item at radius 19."""
-        masks = np.array(list(within(0, self.radius // BLOCKS)), dtype=np.uint16)
-        index = []
-        for b in range(BLOCKS):  # the entries of all values, end to end, and where each value's begin
-            values = ((self.prints >> np.uint64(BLOCK_BITS * b)) & np.uint64(0xFFFF)).astype(np.uint16)
-            entries = (values[:, None] ^ masks).ravel()
-            order = np.argsort(entries, kind="stable")
-            index.append((np.searchsorted(entries[order], np.arange((1 << BLOCK_BITS) + 1)), np.repeat(np.arange(len(self.prints), dtype=np.int32), len(masks))[order]))
-        return index
+        sets = [(s, weights.of(s)[0]) for s in own]
+        totals = np.array([w.sum() for _, w in sets])
+        prints = np.array([_pack((_signs(c) * weights.of(c)[0][:, None]).sum(axis=0)) for _, c in rows], dtype=np.uint64)
+        sizes = np.array([len(c) for _, c in rows], dtype=int)
+        masks = np.array(list(within(0, radius // BLOCKS)), dtype=np.uint16)
+        lengths = {}
+        for size in np.unique(sizes).tolist():
+            mine = np.flatnonzero(sizes == size)
+            index = []
+            for b in range(BLOCKS):
+                values = ((prints[mine] >> np.uint64(BLOCK_BITS * b)) & np.uint64(0xFFFF)).astype(np.uint16)
+                entries = (values[:, None] ^ masks).ravel()
+                order = np.argsort(entries, kind="stable")
+                index.append((np.searchsorted(entries[order], np.arange((1 << BLOCK_BITS) + 1)), np.repeat(np.arange(len(mine), dtype=np.int32), len(masks))[order]))
+            lengths[size] = Length(mine, prints[mine], float(totals[mine].min()), index)
+        return cls([i for i, _ in rows], sets, totals, prints, lengths, weights, k, radius, threshold)
 
     def search(self, codes: np.ndarray) -> list[tuple[int, int, int, int, float]]:
         """(item number, start, words, hamming, similarity) of the best window of each item found in a text."""
-        if not len(codes) or not len(self.known):
-            return []
-        s = shingles(codes, self.k)
-        at = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
-        hits = np.flatnonzero(self.known[at] == s)
-        # Items of fewer words than a shingle has are shingles of another length.
-        short = sorted({int(n) for n in self.sizes if n < self.k} | ({len(codes)} if len(codes) < self.k else set()))
-        if not len(hits) and not short:
-            return []
-        by_item: dict[int, list[int]] = {}
-        for p in hits:
-            for n in self.owners[at[p]]:
-                by_item.setdefault(n, []).append(p)
-        found = []
-        for n, places in by_item.items():
-            if self.sizes[n] >= self.k and len(codes) >= self.k:
-                best = self._windows(s, n, np.array(places), self.weights[at[places]])
-                if best:
-                    found.append(best)
-        for size in (x for x in short if len(codes) >= x and x < self.k):
-            runs = shingles(codes, size)
-            for n in np.flatnonzero(self.sizes == size):
-                where = np.flatnonzero(runs == np.uint64(next(iter(self.sets[n]))))
-                if len(where):
-                    found.append((int(n), int(where[0]), size, 0, 1.0))
-        return found
-
-    def near(self, fingerprint: int) -> set[int]:
-        """Items that share an entry of the multi-index: all within the radius, and some beyond."""
-        out: set[int] = set()
-        for b, (begins, items) in enumerate(self.index):
-            v = (fingerprint >> (BLOCK_BITS * b)) & 0xFFFF
-            out.update(items[begins[v] : begins[v + 1]].tolist())
-        return out
-
-    def _windows(self, s: np.ndarray, n: int, places: np.ndarray, weights: np.ndarray) -> tuple[int, int, int, int, float] | None:
-        width = int(self.sizes[n]) - self.k + 1
-        need = self.threshold * self.totals[n] - 1e-9
-        if weights.sum() < need:
-            return None
-        # Starts whose hits weigh enough, repeats counted (an upper bound of the shared weight).
-        starts = np.unique(np.clip((places[:, None] - np.arange(width)).ravel(), 0, max(0, len(s) - width)))
-        run = np.concatenate([[0], np.cumsum(weights)])
-        weight = run[np.searchsorted(places, starts + width)] - run[np.searchsorted(places, starts)]
-        starts = starts[weight >= need]
-        best, own = None, self.sets[n]
-        for at in starts:
-            window = np.unique(s[at : at + width])
-            pos = np.minimum(np.searchsorted(self.known, window), len(self.known) - 1)
-            common = np.where(self.known[pos] == window, self.weights[pos], self.weights.max())  # shingles that no item has are the rarest
-            shared = sum(own.get(x, 0.0) for x in window.tolist())
-            similarity = shared / (float(common.sum()) + float(self.totals[n]) - shared)
-            if similarity < self.threshold or (best is not None and similarity < best[0]):
+        found: dict[int, tuple[float, int, int, int]] = {}
+        by_k: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        word_weights = None
+        for size, group in self.lengths.items():
+            if size > len(codes):
                 continue
-            apart = (int(_pack((_signs(window) * common[:, None]).sum(axis=0))) ^ int(self.prints[n])).bit_count()
-            if best is None or (similarity, -apart) > (best[0], -best[1]):
-                best = (similarity, apart, int(at))
-                if similarity >= 1 - 1e-9:
-                    break
-        return best and (n, best[2], int(self.sizes[n]), best[1], round(float(best[0]), 6))
+            k = min(self.k, size)  # the shingle of an item of fewer words is the whole of it
+            if k not in by_k:
+                s = shingles(codes, k)
+                w, hit = self.weights.of(s)
+                by_k[k] = s, w, np.concatenate([[0], np.cumsum(w * hit)])
+            s, w, run = by_k[k]
+            width = size - k + 1
+            # Repeats counted, so an upper bound of the weight that a window shares with any item.
+            starts = np.flatnonzero(run[width:] - run[:-width] >= self.threshold * group.least - 1e-9)
+            for at in range(0, len(starts), AT_ONCE):
+                some = starts[at : at + AT_ONCE]
+                if word_weights is None:
+                    word_weights = self.weights.of(codes)[0]
+                for begin, end in _stretches(some, size):
+                    inside = some[(some >= begin) & (some + size <= end)]
+                    sums = np.concatenate([np.zeros((1, 64)), np.cumsum(_signs(codes[begin:end]) * word_weights[begin:end, None], axis=0)])
+                    prints = _pack(sums[inside - begin + size] - sums[inside - begin])
+                    whose, which = group.near(prints)
+                    apart = np.bitwise_count(prints[whose] ^ group.prints[which])
+                    for j in np.flatnonzero(apart <= self.radius):
+                        n, start = int(group.items[which[j]]), int(inside[whose[j]])
+                        similarity = self.similarity(s[start : start + width], w[start : start + width], n)
+                        new = (round(similarity, 12), -int(apart[j]), -start, size)
+                        if similarity >= self.threshold and (n not in found or new > found[n]):
+                            found[n] = new
+        return [(n, -start, size, -apart, round(similarity, 6)) for n, (similarity, apart, start, size) in sorted(found.items())]
+
+    def similarity(self, window: np.ndarray, weights: np.ndarray, n: int) -> float:
+        """Weighted Jaccard similarity of the distinct shingles of a window and item n."""
+        distinct, first = np.unique(window, return_index=True)
+        own, own_weights = self.sets[n]
+        at = np.minimum(np.searchsorted(own, distinct), len(own) - 1)
+        shared = float(own_weights[at[own[at] == distinct]].sum())
+        return shared / (float(weights[first].sum()) + float(self.totals[n]) - shared)
+
+
+def _stretches(starts: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the runs of words that windows at sorted starts cover without a gap."""
+    if len(starts):
+        cuts = np.flatnonzero(np.diff(starts) > size)
+        for i, j in zip(np.r_[0, cuts + 1], np.r_[cuts, len(starts) - 1], strict=True):
+            yield int(starts[i]), int(starts[j]) + size
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", most_items: int = 2000, **settings) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, hamming, similarity): the best window for each item that a text holds.
 
-    The items are sent to all executors, up to ``most_items`` at a time (more are searched for in several passes over
-    the texts). Null and empty texts hold nothing; repeated rows are judged alike; an empty benchmark
-    or table gives an empty result. Only the named columns are read.
+    Rarity is counted over all items by a DataFrame aggregation. The items are fetched and sent to all executors ``most_items`` at
+    a time at most, each part with the rarity of its own codes, and the texts are searched once a part. Null and empty texts hold nothing; null
+    ids and other columns are passed by; rows that repeat are judged alike; an empty benchmark or table gives an empty
+    result. Only the named columns are read.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL")
-    passes = max(1, -(-items.count() // most_items))
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    part_of = lambda p: [(r.i, r.t) for r in (items if passes == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == p)).collect()]
-    counts = None
-    for p in range(passes):
-        counts = count_shingles(coded(part_of(p)), settings.get("k", 3), counts)
-    out = None
+    k = settings.get("k", 2)
+    items = benchmark.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
+
+    def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes_of = Codes()
+        for batch in batches:
+            found = [(i, t, item_codes(c, k).view(np.int64).tolist()) for i, t in zip(batch["i"], batch["t"], strict=True) if len(c := codes_of.of(t))]
+            yield pd.DataFrame(found, columns=["i", "t", "codes"])
+
+    items = materialize(items.mapInPandas(codes, "i long, t string, codes array<long>"), "leak-items")
+    total = items.count()
+    counts = items.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    passes = max(1, -(-total // most_items))
+    part_of = F.pmod(F.xxhash64("i", "t"), F.lit(passes)).cast("int")
+    rows, out = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), None
+    weighed = materialize(items.select(part_of.alias("part"), F.explode("codes").alias("code")).distinct().join(counts, "code"), "leak-weights")
     for p in range(passes):
-        shared = spark.sparkContext.broadcast(Benchmark.build(part_of(p), counts=counts, **settings))
+        own = weighed.where(F.col("part") == p).select("code", "n").toPandas()
+        weights = Weights(own["code"].to_numpy(dtype=np.int64).view(np.uint64), own["n"].to_numpy(dtype=float), total)
+        shared = spark.sparkContext.broadcast(Benchmark.build([(r.i, r.t) for r in items.where(part_of == p).select("i", "t").collect()], weights=weights, **settings))
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             codes_of, b = Codes(), shared.value
             for batch in batches:
-                found = [(d, b.ids[n], *rest) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for n, *rest in b.search(codes_of.of(t))]
-                yield pd.DataFrame(found, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-        leaks = rows.mapInPandas(run, SCHEMA)
+                found = []
+                for at in range(0, batch.num_rows, 512):
+                    ids, texts = (c.to_pylist() for c in batch.slice(at, 512).columns)
+                    found += [(d, b.ids[n], *rest) for d, t in zip(ids, texts, strict=True) for n, *rest in b.search(codes_of.of(t))]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], kind) for j, kind in enumerate(kinds)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+        leaks = rows.mapInArrow(run, SCHEMA)
         out = leaks if out is None else out.unionByName(leaks)
     return out

@@ -1,12 +1,14 @@
 """Repeated passages and benchmark passages against what was planted."""
 
+import math
 import random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom.llm.chaining import Fenwick, Settings, chains, common, covering_runs, linked, matched_runs, repeated_passages, seeds
-from corpusloom.llm.decontamination import Benchmark, find_leaks, within
+from corpusloom.llm.decontamination import Benchmark, find_leaks, item_codes, within
 from corpusloom.llm.tokens import Codes, shingles
 
 DOCS = "doc_id long, text string"
@@ -180,12 +182,14 @@ def test_passages_at_the_edges(spark):
 def test_multi_index_finds_all_within_the_radius():
     rng = random.Random(6)
     b = Benchmark.build([(i, " ".join(words(rng, 30))) for i in range(20)], radius=19)
+    group = b.lengths[30]
     for _ in range(300):
         n, flips = rng.randrange(20), rng.randrange(20)
         near = int(b.prints[n])
         for bit in rng.sample(range(64), flips):
             near ^= 1 << bit
-        assert n in b.near(near)
+        whose, which = group.near(np.array([0, near], dtype=np.uint64))
+        assert n in group.items[which[whose == 1]]
     assert len(list(within(0, 2))) == 1 + 16 + 120
 
 
@@ -227,8 +231,6 @@ def test_texts_that_repeat_inside_are_compared_whole(spark):
 
 
 def test_covering_runs_miss_no_word_of_a_common_run():
-    import numpy as np
-
     rng = random.Random(9)
     for _ in range(60):
         a, b = (np.array([rng.randrange(2) for _ in range(rng.randrange(3, 60))], dtype="<u4") for _ in range(2))
@@ -238,25 +240,55 @@ def test_covering_runs_miss_no_word_of_a_common_run():
         assert cover(every, 0) == cover(few, 0) and cover(every, 1) == cover(few, 1)
 
 
-def test_every_window_that_reaches_the_similarity_is_found():
-    import numpy as np
+def all_windows(b, items, codes):
+    """Best similarity of each item over all windows of its length, by sets and plain sums."""
+    codes_of, best = Codes(), {}
+    df = {}
+    for _, text in items:
+        for x in set(item_codes(codes_of.of(text), b.k).tolist()):
+            df[x] = df.get(x, 0) + 1
+    weight = lambda x: 1 + math.log(len(items) / df.get(x, 1))
+    for i, text in items:
+        own = codes_of.of(text)
+        mine = set(shingles(own, b.k).tolist())
+        for at in range(len(codes) - len(own) + 1):
+            window = set(shingles(codes[at : at + len(own)], b.k).tolist())
+            best[i] = max(best.get(i, 0.0), sum(map(weight, window & mine)) / sum(map(weight, window | mine)))
+    return best
 
+
+def test_every_window_that_reaches_the_similarity_is_found():
     rng, codes_of = random.Random(10), Codes()
-    items = [(i, " ".join(words(rng, 30))) for i in range(40)]
-    b, reached = Benchmark.build(items), 0
+    stock = words(rng, 60)  # items have words in common
+    items = [(i, " ".join(rng.sample(stock, 10) + words(rng, rng.choice((10, 20))))) for i in range(40)]
+    b, reached, kept = Benchmark.build(items), [0, 0], [0, 0]
     for n, (_, text) in enumerate(items):
-        copy = [w if rng.random() > 0.12 else f"z{rng.randrange(10**6)}" for w in text.split()]
-        codes = codes_of.of(" ".join(words(rng, 20) + copy + words(rng, 20)))
-        best = 0.0
-        for at in range(len(codes) - 29):
-            window = {int(x) for x in np.unique(shingles(codes[at : at + 30], 3))}
-            shared = sum(b.sets[n].get(x, 0.0) for x in window)
-            rest = sum(b.weights[np.searchsorted(b.known, np.uint64(x))] if np.uint64(x) in b.known else b.weights.max() for x in window)
-            best = max(best, shared / (rest + b.totals[n] - shared))
-        found = {i: similarity for i, _, _, _, similarity in b.search(codes)}
-        assert (n in found) == (best >= b.threshold) and abs(found.get(n, best) - best) < 1e-5
-        reached += n in found
-    assert reached >= 20
+        for k, rate in enumerate((0.1, 0.15)):
+            copy = [w if rng.random() > rate else f"z{rng.randrange(10**6)}" for w in text.split()]
+            codes = codes_of.of(" ".join(words(rng, 20) + copy + words(rng, 20)))
+            best = all_windows(b, items, codes)
+            found = {b.ids[i]: similarity for i, _, _, _, similarity in b.search(codes)}
+            assert set(found) == {i for i, x in best.items() if x >= b.threshold} and all(abs(found[i] - best[i]) < 1e-5 for i in found)
+            reached[k] += best[n] >= b.threshold
+            kept[k] += n in found
+    assert kept == reached and min(reached) >= 36  # of 40
+
+
+def test_candidates_come_from_the_multi_index():
+    rng, codes_of = random.Random(13), Codes()
+    text = " ".join(words(rng, 30))
+    b = Benchmark.build([(1, text)])
+    assert [f[0] for f in b.search(codes_of.of(text))] == [0]
+    b.lengths[30].index = [(np.zeros_like(begins), items) for begins, items in b.lengths[30].index]
+    assert b.search(codes_of.of(text)) == []
+
+
+def test_leaks_of_odd_rows(spark):
+    big = 9007199254740993
+    docs = spark.createDataFrame([(big, "one two three four five"), (None, "one two three four five"), (None, None), (big, "x " * 50_000 + "one two three four five")], DOCS).coalesce(1)
+    bench = spark.createDataFrame([(big, "one two three four five"), (big, "one two three four five"), (None, "x"), (4, "One"), (5, "...")], "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.start_word) for r in find_leaks(docs, bench).collect()), key=str)
+    assert got == sorted([(d, i, at) for d, at in ((big, 0), (None, 0), (big, 50_000)) for i in (big, 4)], key=str)
 
 
 def test_fuzzy_passages_are_not_cut_by_the_span_of_their_seeds(spark):
