@@ -1,10 +1,11 @@
 """Exact top-k inner products by no-random-access aggregation.
 
-Every dimension has a list of the candidates sorted by their value in it. For a query, a list is read from the
-end that its weight favours. After some depth, each candidate has a lower bound (what was seen, plus the least
-that each unseen list can add) and an upper bound (what was seen, plus the value at which each unseen list stands).
-Reading goes on, in growing steps, until no candidate outside the best k can rise above the k-th lower bound (ties
-are kept); the scores of those left are then resolved. Values are integers, so all bounds are exact.
+Every dimension has a list of the candidates sorted by their value in it. For a query, a list is read from the end
+that its weight favours, entry by entry from the first, in growing steps. A candidate that was seen has a lower bound (what was
+seen, plus the least that each list in which it wasn't can add) and an upper bound (what was seen, plus the value at which each
+such list stands); one that no list has shown yet is bounded by the values at which all lists stand. Once the k-th lower
+bound is above the upper bounds of all others, the best k are known; reading goes on until their scores are known, too: every
+list has shown them, or can only add one value. No candidate's values are ever looked up. Values are integers, so all bounds are exact.
 
 Candidates and queries are cut into blocks that meet pairwise in tasks of bounded size; each task keeps its k
 best a query, and the blocks' results are merged.
@@ -12,6 +13,8 @@ best a query, and the blocks' results are merged.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,58 +23,73 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 SCHEMA = "query_id long, vec_id long, score long"
+#: Sums of products beyond this are not exact in the floating-point numbers that hold them.
+EXACT = float(1 << 53)
+
+
+@dataclass
+class Read:
+    """How far the lists were read for a query: entries of each list until the best k were known, and until their scores were."""
+
+    known: int
+    resolved: int
 
 
 class Lists:
-    """The sorted lists of a block of candidates; places[i, d] is where candidate i lies in the list of d, ascending."""
+    """The sorted lists of a block of candidates: one row a dimension of who (places in order of id) and values, ascending."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.values = ids[order], values[order].astype(np.float64)  # integers below 2**53 stay exact
-        n, dims = self.values.shape
-        by = np.argsort(self.values, axis=0, kind="stable")
-        self.places = np.empty((n, dims), dtype=np.int32)
-        self.places[by, np.arange(dims)] = np.arange(n, dtype=np.int32)[:, None]
-        self.sorted = np.take_along_axis(self.values, by, axis=0)
-
-    def bounds(self, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """(lower, upper) of every query and candidate after depth entries of each list.
-
-        What was seen depends on the sign of a weight alone, so both bounds are sums of matrix products:
-        positive weights read the lists from their upper end, negative ones from their lower end.
+        self.ids, values = ids[order], values[order].T.astype(np.float64)
+        self.largest = float(np.abs(values).max(initial=0))
+        self.who = np.argsort(values, axis=1, kind="stable")
+        self.values = np.take_along_axis(values, self.who, axis=1)
+
+    def top(self, queries: np.ndarray, query_ids: np.ndarray, k: int, first: int = 16) -> list[tuple[np.ndarray, np.ndarray, Read]]:
+        """For each query (ids, scores, depths read) of the k best candidates but the query itself, ties to the smaller id.
+
+        Which entry comes next depends on the sign of a weight alone, so the queries read together: what a step
+        shows adds to their sums by two matrix products, of the positive weights with entries from the upper ends of the lists and of
+        the negative ones with entries from the lower ends. A query that is done reads no further.
+        Raises ValueError where scores could pass 2**53, beyond which they would not be exact.
         """
-        n = len(self.ids)
-        lower = np.zeros((len(queries), n))
-        upper = np.zeros((len(queries), n))
-        for weights, seen, least, frontier in (
-            (np.maximum(queries, 0), self.places >= n - depth, self.sorted[0], self.sorted[max(0, n - 1 - depth)]),
-            (np.minimum(queries, 0), self.places < depth, self.sorted[-1], self.sorted[min(n - 1, depth)]),
-        ):
-            known = weights @ np.where(seen, self.values, 0).T
-            unseen = (~seen).astype(np.float64).T
-            lower += known + (weights * least) @ unseen
-            upper += known + (weights * frontier) @ unseen
-        return lower, upper
-
-    def top(self, queries: np.ndarray, query_ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Per query (ids, scores) of the k best candidates but the query itself, ties to the smaller id."""
-        n = len(self.ids)
         queries = queries.astype(np.float64)
-        own = query_ids[:, None] == self.ids[None, :]
-        alive = ~own
-        for depth in (3 * n // 4, 7 * n // 8, 15 * n // 16):
-            if alive.sum() <= 16 * k * len(queries) or n <= 4 * k:
-                break
-            lower, upper = self.bounds(queries, depth)
-            lower[own] = -np.inf
-            kth = np.partition(lower, n - k, axis=1)[:, n - k]
-            alive &= upper >= kth[:, None]
-        out = []
-        for query, left in zip(queries, alive, strict=True):
-            rows = np.flatnonzero(left)
-            scores = (self.values[rows] @ query).astype(np.int64)
-            best = np.lexsort((self.ids[rows], -scores))[:k]
-            out.append((self.ids[rows][best], scores[best]))
+        if float(np.abs(queries).sum(axis=1).max(initial=0)) * self.largest >= EXACT:
+            raise ValueError("components too large: scores beyond 2**53 are not exact")
+        shape, n = self.values.shape, len(self.ids)
+        others = query_ids[:, None] != self.ids[None, :]
+        most = np.minimum(k, others.sum(axis=1))
+        out = [(self.ids[:0], np.zeros(0, dtype=np.int64), Read(0, 0))] * len(queries)
+        left = np.flatnonzero(most > 0)
+        gain, known = np.zeros((len(left), n)), np.full(len(queries), -1)
+        unseen_up, unseen_down = np.ones(shape), np.ones(shape)
+        at, step = 0, first
+        while len(left):
+            to = min(n, at + step)
+            up, down = np.maximum(queries[left], 0), np.minimum(queries[left], 0)
+            for weights, unseen, entries in ((up, unseen_up, slice(n - to, n - at)), (down, unseen_down, slice(at, to))):
+                shown = np.zeros(shape)
+                np.put_along_axis(shown, self.who[:, entries], self.values[:, entries], axis=1)
+                np.put_along_axis(unseen, self.who[:, entries], 0, axis=1)
+                gain += weights @ shown
+            at, step = to, 4 * step
+            lower = upper = gain  # no entry is left, or:
+            if at < n:
+                lower = gain + (up * self.values[:, 0]) @ unseen_up + (down * self.values[:, -1]) @ unseen_down
+                upper = gain + (up * self.values[:, n - 1 - at]) @ unseen_up + (down * self.values[:, at]) @ unseen_down
+            lower, upper = np.where(others[left], lower, -np.inf), np.where(others[left], upper, -np.inf)
+            done = np.zeros(len(left), dtype=bool)
+            for j, i in enumerate(left.tolist()):
+                least = np.partition(lower[j], n - most[i])[n - most[i]]
+                if at < n and np.count_nonzero(upper[j] >= least) > most[i]:
+                    continue  # some outsider may still qualify
+                known[i] = at if known[i] < 0 else known[i]
+                best = np.flatnonzero(lower[j] >= least)
+                if at == n or (upper[j, best] == lower[j, best]).all():
+                    best = best[np.lexsort((self.ids[best], -lower[j, best]))][: most[i]]
+                    out[i] = self.ids[best], lower[j, best].astype(np.int64), Read(int(known[i]), at)
+                    done[j] = True
+            left, gain = left[~done], gain[~done]
         return out
 
 
@@ -87,7 +105,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", ve
     """query_id, rank (from 1), vec_id, score: each query's k best other rows, all if fewer.
 
     ``is_query`` is a predicate on ``id``. Rows that repeat an id and a vector are one; of different vectors with one
-    id, the least counts. Vectors of unequal length never meet. An empty table gives an empty result.
+    id, the least counts. Vectors of unequal length never meet. An empty table gives an empty result. A task fails with a
+    ValueError where a query's components and a candidate's could make a score of 2**53 or more, which would not be exact.
     """
     spark = vectors.sparkSession
     rows = integer_vectors(vectors, key, vector, scale).groupBy("id").agg(F.min("v").alias("v"))

@@ -55,11 +55,42 @@ def test_top_k(spark):
     assert exact_top_k(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
-def test_bounds_hold():
+def plain(ids, values, query, query_id, k):
+    return sorted((-int(v @ query), i) for i, v in zip(ids.tolist(), values, strict=True) if i != query_id)[:k]
+
+
+def test_reading_stops_when_no_outsider_can_qualify():
     rng = np.random.default_rng(2)
-    lists = Lists(np.arange(500), rng.integers(-20, 20, (500, 16)))
-    queries = rng.integers(-20, 20, (7, 16)).astype(float)
-    scores = queries @ lists.values.T
-    for depth in (0, 100, 250, 499):
-        lower, upper = lists.bounds(queries, depth)
-        assert (lower <= scores).all() and (scores <= upper).all()
+    ids = np.arange(2000)
+    # A few candidates are at the good end of all lists: their lists need not be read far.
+    values = rng.integers(-20, 20, (2000, 8))
+    values[100:110] = 100 + np.arange(10)[:, None]
+    lists = Lists(ids, values)
+    query = rng.integers(1, 9, 8)
+    found, scores, read = lists.top(query[None], np.array([-1]), 10)[0]
+    assert [(-s, i) for s, i in zip(scores.tolist(), found.tolist())] == plain(ids, values, query, -1, 10)
+    assert read.known == read.resolved == 16 < len(ids)
+    # Where scores lie close together, lists are read on, to the end at last.
+    values = rng.integers(-20, 20, (2000, 8))
+    reads = []
+    for _ in range(20):
+        query = rng.integers(-9, 9, 8)
+        found, scores, read = Lists(ids, values).top(query[None], np.array([7]), 10)[0]
+        assert [(-s, i) for s, i in zip(scores.tolist(), found.tolist())] == plain(ids, values, query, 7, 10)
+        reads.append(read)
+    assert all(r.known <= r.resolved for r in reads) and max(r.resolved for r in reads) == 2000
+
+
+def test_few_candidates_and_great_components(spark):
+    ids, values = np.array([5, 3, 9]), np.array([[1, 2], [1, 2], [0, 0]])
+    lists = Lists(ids, values)
+    assert [x.tolist() for x in lists.top(np.array([[1, 1]]), np.array([9]), 20)[0][:2]] == [[3, 5], [3, 3]]
+    assert [x.tolist() for x in lists.top(np.array([[0, 0]]), np.array([3]), 1)[0][:2]] == [[5], [0]]
+    assert lists.top(np.array([[1, 1]]), np.array([9]), 0)[0][0].tolist() == [] and Lists(ids[:1], values[:1]).top(values[:1], ids[:1], 20)[0][0].tolist() == []
+    import pytest
+
+    with pytest.raises(ValueError, match="2\\*\\*53"):
+        Lists(np.array([1]), np.array([[1 << 40, 0]])).top(np.array([[1 << 30, 0]]), np.array([2]), 1)
+    huge = spark.createDataFrame([(20, [1e300, 1.0]), (1, [1e300, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="components too large"):
+        exact_top_k(huge, F.col("id") % 20 == 0).collect()
