@@ -1,8 +1,9 @@
 """URL filter: rules by host and path, and gradient-boosted trees on lexical features for the rest.
 
-The trees (depth-limited, fitted in numpy to the gradients of the log loss on binned features) learn from
-labelled URLs. Where a caller has none, ``seed_urls`` makes a labelled set from word lists of two kinds of hosts:
-spam, gambling, adult, pharmacy and advertising against ordinary ones.
+The trees (depth-limited, fitted in numpy to the gradients of the log loss on binned features) learn from labelled URLs:
+a table of them, or else the URLs that the rules judge, whose verdict is their label. What rules say of hosts and paths
+can teach the trees nothing but how the two kinds of URLs differ in form (suffix, length, digits, parameters); they don't
+know spam from news unless the labels do.
 """
 
 from __future__ import annotations
@@ -14,20 +15,10 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BAD_WORDS = """ad ads adserv advert affiliate track tracker tracking click clicks banner popup promo spam farm seo link links
-casino win winner bet bets betting poker slot slots jackpot lotto bingo roulette free bonus cash prize loan loans payday credit
-adult xxx x porn sex cam cams escort dating nude erotic cheap pills pill pharma viagra cialis meds drug drugs replica fake
-warez crack keygen torrent download scam phish malware hack miner coin profit rich quick deal deals""".split()
-GOOD_WORDS = """news blog docs wiki science history school college library museum city travel food garden music art sport health
-weather code data review journal press book books story research report museum photo video forum help support account mail cloud
-map market bank energy water house home family work office team group world daily times post gazette info guide learn lab maths""".split()
-ENDS = ("com", "net", "org", "info", "io", "de", "fr", "es", "co", "eu")
-SUBDOMAINS = ("", "", "www.", "m.", "blog.", "en.")
-SYLLABLES = "ba be bi bo da de do er es ha he in ka la le li lo ma me na ne no on or pa ra re ri ro sa se sh st ta te th ti to tr un wh".split()
-NAMES = ("length", "host_length", "path_length", "depth", "digit_ratio", "host_digits", "entropy", "host_entropy", "params", "labels", "hyphens", "host_hyphens", "suffix", "suffix_odds", "bad_words", "good_words", "bad_share", "longest_digits", "https", "fragment", "escapes", "vowels")
+NAMES = ("length", "host_length", "path_length", "depth", "digit_ratio", "host_digits", "entropy", "host_entropy", "params", "labels", "hyphens", "host_hyphens", "suffix_odds", "suffix_share", "domain_odds", "domain_share", "longest_digits", "https", "fragment", "escapes", "vowels")
 
 
 def parts(url: str | None) -> tuple[str, str]:
@@ -44,65 +35,45 @@ def entropy(s: str) -> float:
     return -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values()) if s else 0.0
 
 
+def suffixes(host: str) -> tuple[str, str]:
+    """The last label of a host and its last two, by which statistics are kept."""
+    labels = host.split(".")
+    return labels[-1], ".".join(labels[-2:])
+
+
 @dataclass
 class Suffixes:
-    """Smoothed log odds of the bad label by the last label of the host, from the labelled URLs."""
+    """Of each suffix of the labelled URLs' hosts the smoothed log odds of the bad label, and its share of the URLs."""
 
     odds: dict[str, float] = field(default_factory=dict)
-    rank: dict[str, int] = field(default_factory=dict)
+    share: dict[str, float] = field(default_factory=dict)
+    #: Log odds of all labelled URLs, for suffixes that none of them has.
+    prior: float = 0.0
 
     @classmethod
     def of(cls, urls: list[str], labels: list[int]) -> Suffixes:
         bad, all_ = Counter(), Counter()
         for u, y in zip(urls, labels, strict=True):
-            end = parts(u)[0].rpartition(".")[2]
-            all_[end] += 1
-            bad[end] += y
+            for end in set(suffixes(parts(u)[0])):
+                all_[end] += 1
+                bad[end] += y
         prior = sum(labels) / max(1, len(labels))
         odds = {e: math.log((bad[e] + 5 * prior + 0.01) / (all_[e] - bad[e] + 5 * (1 - prior) + 0.01)) for e in all_}
-        return cls(odds, {e: i for i, (e, _) in enumerate(all_.most_common(30))})
+        return cls(odds, {e: n / len(urls) for e, n in all_.items()}, math.log((sum(labels) + 1) / (len(labels) - sum(labels) + 1)))
 
 
-def features(url: str | None, suffixes: Suffixes) -> list[float]:
-    """Numbers that the form of a URL gives. Null and odd strings have features, too."""
+def features(url: str | None, known: Suffixes) -> list[float]:
+    """Numbers that the form of a whole URL gives. Null and odd strings have features, too."""
     url = url or ""
     host, path = parts(url)
-    end = host.rpartition(".")[2]
-    words = [w for w in re.split(r"[^a-z]+", host) if w][: -1 if "." in host else None]
-    tail = [w for w in re.split(r"[^a-z]+", path.lower()) if len(w) > 2]
-    bad = sum(w in _BAD for w in words + tail)
-    good = sum(w in _GOOD for w in words + tail)
+    last, two = suffixes(host)
     return [
-        len(url), len(host), len(path), path.count("/"), sum(c.isdigit() for c in url) / max(1, len(url)), sum(c.isdigit() for c in host), entropy(url[:2000]), entropy(host[:300]),
-        url.partition("?")[2].count("=") if "?" in url else 0, host.count(".") + 1 if host else 0, url.count("-"), host.count("-"), suffixes.rank.get(end, 31), suffixes.odds.get(end, 0.0),
-        bad, good, bad / max(1, len(words) + len(tail)), max((len(d) for d in re.findall(r"\d+", url)), default=0), url.startswith("https:"), "#" in url, url.count("%"), sum(c in "aeiou" for c in host) / max(1, len(host)),
+        len(url), len(host), len(path), path.count("/"), sum(c.isdigit() for c in url) / max(1, len(url)), sum(c.isdigit() for c in host), entropy(url), entropy(host),
+        url.partition("?")[2].count("=") if "?" in url else 0, host.count(".") + 1 if host else 0, url.count("-"), host.count("-"), known.odds.get(last, known.prior), known.share.get(last, 0.0), known.odds.get(two, known.prior), known.share.get(two, 0.0),
+        max((len(d) for d in re.findall(r"\d+", url)), default=0), url.startswith("https:"), "#" in url, url.count("%"), sum(c in "aeiou" for c in host) / max(1, len(host)),
     ]
 
 
-_BAD, _GOOD = frozenset(BAD_WORDS), frozenset(GOOD_WORDS)
-
-
-def seed_urls(n: int = 4000, seed: int = 7) -> tuple[list[str], list[int]]:
-    """n labelled URLs, half of them bad, the same at every call."""
-    rng = np.random.default_rng(seed)
-    pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    made = lambda: "".join(pick(SYLLABLES) for _ in range(int(rng.integers(2, 5))))
-    tails = ("", "/", ".html", "?page=2&ref=x", "?utm_source=feed", "#top", "?id=%d" % rng.integers(1000))
-    urls, labels = [], []
-    for k in range(n):
-        bad = k % 2
-        if bad:
-            name = f"{pick(BAD_WORDS)}-{pick(BAD_WORDS)}" if rng.random() < 0.7 else f"{pick(BAD_WORDS)}-{made()}" if rng.random() < 0.5 else f"{made()}-{pick(BAD_WORDS)}"
-        else:
-            r = rng.random()
-            name = made() if r < 0.55 else f"{pick(GOOD_WORDS)}-{pick(GOOD_WORDS)}" if r < 0.7 else pick(GOOD_WORDS) if r < 0.85 else f"{made()}-{made()}" if r < 0.95 else f"{made()}{pick(GOOD_WORDS)}"
-        middle = pick(["example.", ""])
-        path = "/".join([pick(["en", "de", "fr", "es", "a", "p", made()]), str(int(rng.integers(1, 50000)))][: int(rng.integers(1, 3))])
-        urls.append(f"{pick(['http', 'https'])}://{pick(SUBDOMAINS)}{name}.{middle}{pick(ENDS)}/{path}{pick(tails)}")
-        labels.append(bad)
-    return urls, labels
-
-
 @dataclass
 class Trees:
     """Boosted trees: per tree, arrays of feature, cut, left child and value (a negative feature marks a leaf)."""
@@ -131,12 +102,12 @@ class Trees:
 
 def train(urls: list[str], labels: list[int], *, rounds: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, l2: float = 1.0, least: int = 8) -> Trees:
     """Second-order boosting of the log loss; cuts are searched over quantile bins of each feature."""
-    suffixes = Suffixes.of(urls, labels)
-    x, y = np.array([features(u, suffixes) for u in urls], dtype=float), np.array(labels, dtype=float)
+    known = Suffixes.of(urls, labels)
+    x, y = np.array([features(u, known) for u in urls], dtype=float).reshape(len(urls), len(NAMES)), np.array(labels, dtype=float)
     share = (y.sum() + 1) / (len(y) + 2)
     base = math.log(share / (1 - share))
     if len(set(labels)) < 2:
-        return Trees([], base, suffixes)
+        return Trees([], base, known)
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
     z, trees = np.full(len(y), base), []
@@ -176,7 +147,7 @@ def train(urls: list[str], labels: list[int], *, rounds: int = 60, depth: int =
                     feature.append(-1), cut.append(0.0), left.append(0), value.append(0.0)
             level = following
         trees.append((np.array(feature), np.array(cut), np.array(left), np.array(value)))
-    return Trees(trees, base, suffixes)
+    return Trees(trees, base, known)
 
 
 @dataclass(frozen=True)
@@ -207,3 +178,18 @@ def rule_of(host: Column, path: Column, rules: list[Rule], what: str = "text") -
         fits = ((host == rule.host) | F.endswith(host, F.lit("." + rule.host))) & F.startswith(path, F.lit(rule.path))
         out = F.when(fits, F.lit(getattr(rule, what))).otherwise(out)
     return out
+
+
+def ruled_sample(urls: DataFrame, url: str, rules: list[Rule], most_rows: int = 8000) -> DataFrame:
+    """(url, label): distinct URLs that a rule judges, label 1 for those it blocks; at most half of ``most_rows`` of either label,
+    chosen by the hash of the URL, so the same at every run."""
+    seen = urls.select(F.col(url).alias("url")).distinct()
+    judged = seen.withColumn("verdict", rule_of(host_of(F.col("url")), path_of(F.col("url")), rules, "verdict")).where("verdict IS NOT NULL")
+    labelled = judged.select("url", (F.col("verdict") == "block").cast("int").alias("label"))
+    one, other = (labelled.where(F.col("label") == k).orderBy(F.xxhash64("url"), "url").limit(most_rows // 2) for k in (0, 1))
+    return one.unionByName(other)
+
+
+def held_out_url(url: Column) -> Column:
+    """The fold of the labelled URLs that the trees don't learn from."""
+    return F.crc32(url.cast("binary")) % 5 == 0
