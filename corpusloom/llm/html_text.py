@@ -2,7 +2,7 @@
 
 The page is parsed into a tree (forgiving: open paragraphs, stray ends and cut-off pages are fine). What is never
 main text goes: scripts, styles, forms, menus, page headers, footers, sidebars, notices, adverts and reader comments,
-known by tag, role, hidden state, or the words of class and id. Each paragraph left passes points for its length
+known by tag, role, hidden state, or the words of the class and id of blocks; words within a line stay. Each paragraph left passes points for its length
 and its commas to its ancestors, less with each level; a container's points are discounted by its link
 density. The best container is kept, with those of its siblings that score well or read like text, and the
 headings before it.
@@ -22,6 +22,12 @@ CLOSES_P = BLOCKS - {"br", "body", "html", "caption", "td", "th", "tr", "tbody",
 SIBLINGS = {"li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})), "dd": (frozenset({"dd", "dt"}), frozenset({"dl"})), "dt": (frozenset({"dd", "dt"}), frozenset({"dl"})), "tr": (frozenset({"tr", "td", "th"}), frozenset({"table"})), "td": (frozenset({"td", "th"}), frozenset({"table", "tr"})), "th": (frozenset({"td", "th"}), frozenset({"table", "tr"})), "option": (frozenset({"option"}), frozenset({"select"}))}
 SCOPE = frozenset("article body div section main td th li table blockquote header footer aside nav form html dd figure".split())
 BAD = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent dialog disclaimer disqus footer foot gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup promo promotion recommended related replies reply respond share sharing sidebar sidebars social sponsor sponsored subscribe subscription taboola toolbar topbar tracking widget widgets".split())
+#: Of the words above those that hold beside any other.
+SURE = frozenset("comment comments sidebar footer ad ads".split())
+#: Words of places and boxes.
+BOXES = frozenset("area bar block bottom box button card center column container global group holder inner item items js left level link links list message mobile outer page panel primary reader row right secondary section site slot sticky top unit user view wrap wrapper zone".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strong sub sup time tt u var".split())
+INLINE_STOPS = frozenset({"article", "body", "main", "table"})
 GOOD = frozenset("article body content entry main post story text".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 
@@ -34,38 +40,41 @@ class Node:
 
 
 class _Builder(HTMLParser):
+    """Builds the tree. ``depths`` has the places of the open nodes of each tag, so that an end tag costs no walk over open nodes."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", {}, None)
+        self.root = Node("#root", {}, None)
+        self.open, self.depths = [self.root], {}
 
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES_P:
-            self._close(frozenset({"p"}), SCOPE)
+            self._close(("p",), SCOPE)
         if tag in SIBLINGS:
             self._close(*SIBLINGS[tag])
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.open[-1])
+        self.open[-1].children.append(node)
         if tag not in VOID:
-            self.at = node
+            self.depths.setdefault(tag, []).append(len(self.open))
+            self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        self._close(frozenset({tag}), frozenset({"article", "body", "main", "table"}) - {tag} if tag not in BLOCKS else frozenset())
-
-    def _close(self, tags: frozenset[str], stops: frozenset[str]):
-        node = self.at
-        while node.parent is not None:
-            if node.tag in tags:
-                self.at = node.parent
-                return
-            if node.tag in stops:
-                return
-            node = node.parent
+        self._close((tag,), INLINE_STOPS - {tag} if tag not in BLOCKS else frozenset())
+
+    def _close(self, tags, stops):
+        """Closes the innermost open node of some tags, with all that is open in it, unless one of the stops is open in it."""
+        innermost = lambda names: max((d[-1] for t in names if (d := self.depths.get(t))), default=0)
+        at = innermost(tags)
+        if at and at >= innermost(stops):
+            for node in self.open[at:]:
+                self.depths[node.tag].pop()
+            del self.open[at:]
 
     def handle_data(self, data):
-        self.at.children.append(data)
+        self.open[-1].children.append(data)
 
 
 def parse(html: str) -> Node:
@@ -75,30 +84,59 @@ def parse(html: str) -> Node:
     return builder.root
 
 
-def _inside(node: Node | None, tags: tuple[str, ...]) -> bool:
-    while node is not None:
-        if node.tag in tags:
+def marked(names: str) -> bool:
+    """Whether a class or an id says that an element isn't main text.
+
+    One of its words must name such a part and the others no more than a place or a box: ``cookie-notice`` or ``ad-slot`` do, ``notice-board``
+    or ``share-price`` don't.
+    """
+    for name in names.split():
+        words = {w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if len(w) > 1}
+        if words & BAD and words <= BAD | GOOD | BOXES and (not words & GOOD or words & SURE):
             return True
-        node = node.parent
     return False
 
 
-def dropped(node: Node) -> bool:
+def dropped(node: Node, in_article: bool) -> bool:
+    """Whether a node is never main text. Forms that hold the text of the page are seen to by ``prune``."""
     tag, attrs = node.tag, node.attrs
-    if tag in DROPPED or (tag == "header" and not _inside(node.parent, ("article", "main"))):
+    if tag in DROPPED or (tag == "header" and not in_article):
         return True
     if tag in ("html", "body", "#root"):
         return False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
         return True
+    marks = attrs.get("class", "") + " " + attrs.get("id", "")
     if tag in ("article", "main"):
-        marks = attrs.get("class", "") + " " + attrs.get("id", "")
         return bool(marks.strip()) and bool({"comment", "comments"} & set(re.split(r"[^a-z]+", marks.lower())))
-    marks = attrs.get("class", "") + " " + attrs.get("id", "")
-    if not marks.strip():
-        return False
-    named = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", marks).lower()))
-    return bool(named & BAD) and (not named & GOOD or bool(named & {"comment", "comments", "sidebar", "footer", "ad", "ads"}))
+    # Words within a line are text, whatever they are called.
+    return tag not in INLINE and bool(marks.strip()) and marked(marks)
+
+
+def holds_text(root: Node) -> set[int]:
+    """The forms that hold an article, or paragraphs of 250 letters and more: wrappers of a page, which its text must not go with."""
+    out: set[int] = set()
+    forms: list[list] = []
+    paragraphs = 0
+    for kind, x in walk(root):
+        if kind == "text":
+            if forms and paragraphs:
+                forms[-1][1] += len(x)
+        elif x.tag == "p":
+            paragraphs += 1 if kind == "in" else -1
+        elif x.tag in ("article", "main") and kind == "in" and forms:
+            forms[-1][2] = True
+        elif x.tag == "form":
+            if kind == "in":
+                forms.append([x, 0, False])
+            else:
+                form, letters, whole = forms.pop()
+                if letters >= 250 or whole:
+                    out.add(id(form))
+                if forms:
+                    forms[-1][1] += letters
+                    forms[-1][2] |= whole
+    return out
 
 
 def walk(node: Node) -> Iterator[tuple[str, Node | str]]:
@@ -120,11 +158,13 @@ def walk(node: Node) -> Iterator[tuple[str, Node | str]]:
 
 
 def prune(root: Node) -> None:
-    stack = [root]
+    kept = holds_text(root)
+    stack = [(root, False)]
     while stack:
-        node = stack.pop()
-        node.children = [c for c in node.children if isinstance(c, str) or not dropped(c)]
-        stack += [c for c in node.children if not isinstance(c, str)]
+        node, in_article = stack.pop()
+        in_article = in_article or node.tag in ("article", "main")
+        node.children = [c for c in node.children if isinstance(c, str) or id(c) in kept or not dropped(c, in_article)]
+        stack += [(c, in_article) for c in node.children if not isinstance(c, str)]
 
 
 def measure(root: Node) -> dict[int, tuple[int, int, int]]:
@@ -204,7 +244,10 @@ def chosen(best: Node, sums: dict[int, tuple[int, int, int]]) -> list[Node | str
 
 
 def main_text(html: str | None) -> str:
-    """The blocks of the main part, white space within each turned into one space, joined by one space; empty if none."""
+    """The blocks of the main part, white space within each turned into one space, joined by one space; empty if none.
+
+    White space is what Unicode calls so, no-break spaces included. Null and blank pages have no text.
+    """
     if not html or not html.strip():
         return ""
     root = parse(html)

@@ -94,3 +94,52 @@ def test_few_candidates_and_great_components(spark):
     huge = spark.createDataFrame([(20, [1e300, 1.0]), (1, [1e300, 2.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="components too large"):
         exact_top_k(huge, F.col("id") % 20 == 0).collect()
+
+
+def test_names_and_forms_drop_no_article_text():
+    body = '<article><p>See <a class="related">the related work</a> of A, B.</p><p class="notice-board">Board.</p><div class="share-price">Price 4.</div><div class="ad-slot">Buy</div><div id="postComments">Me too</div></article>'
+    assert main_text(body) == "See the related work of A, B. Board. Price 4."
+    form = "<form><div class='nav'>menu</div><article><p>Text, in a form.</p><input><select><option>x</select><button>Go</button></article></form>"
+    assert main_text(form) == "Text, in a form."
+    assert main_text("<div><p>" + "Long text, of a page. " * 20 + "</p><form><p>Your name, please</p><textarea>x</textarea></form></div>") == ("Long text, of a page. " * 20).strip()
+
+
+def test_pages_put_together_from_known_blocks():
+    """The text that a page was made from, against what is found in it."""
+    import html
+
+    rng = random.Random(21)
+    kinds = [("<p>", "</p>"), ("<p>", ""), ("<div>", "</div>"), ("<h2>", "</h2>"), ("<blockquote>", "</blockquote>"), ("<ul><li>", "</ul>"), ("<table><tr><td>", "</table>")]
+    junk = ['<nav><a href="/">Home, and more</a></nav>', '<div class="cookie-notice"><p>We, too, use cookies.</p></div>', "<script>if (a < b) document.write('<p>x</p>')</script>", '<aside><p>Most read, today, here.</p></aside>', '<div class="ad-banner">Buy, now</div>', "<!-- <p>not this</p> -->", '<section id="comments"><p>First, as ever, says a reader.</p></section>']
+    words = ["one", "two,", "thrée", "a < b", "R&D", "“so”", "五，六"]
+    for _ in range(300):
+        blocks, page = [], []
+        for _ in range(rng.randrange(3, 9)):
+            picked = rng.choices(words, k=rng.randrange(8, 40))
+            start, end = rng.choice(kinds)
+            inner = [f"<{t}>{html.escape(w)}</{t}>" if (t := rng.choice(["", "", "", "b", "em", "span"])) else html.escape(w) for w in picked]
+            page.append(start + rng.choice([" ", "\n\t", "  "]).join(inner) + end)
+            blocks.append(" ".join(picked))
+            if rng.random() < 0.3:
+                page.append(rng.choice(junk))
+        tag = rng.choice(["article", "main"])
+        assert main_text(PAGE % (f"<{tag}>" + "\n".join(page) + f"</{tag}>")) == " ".join(blocks)
+
+
+def test_long_pages_take_time_in_proportion():
+    import time
+
+    for page in ("<p>text, here</p>" + "<span></b>" * 20_000, "<b><article>" + "<span></b>" * 20_000 + "x", "<div><header>x</header>" * 20_000 + "text", "<form>" * 20_000 + "<p>" + "word " * 100):
+        begun = time.time()
+        main_text(page)
+        assert time.time() - begun < 10
+
+
+def test_pages_of_a_table(spark):
+    from corpusloom.llm.op8 import extract
+
+    big = 9007199254740993
+    rows = [(big, "u", "<p>a</p>", 1), (None, None, None, 2), (big, "u", "<p>a</p>", 1), (4, "v", "", 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text long").coalesce(1)
+    assert [tuple(r) for r in extract(pages).collect()] == [(big, "u", "a", 1), (None, None, "", 0), (big, "u", "a", 1), (4, "v", "", 0)]
+    assert extract(pages.limit(0)).count() == 0
