@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame functions only.
 
-Every source gets a target number of words. A document is expected in the mix
-``target / source size`` times (times its share of ``importance``, if one is given):
+Every source gets a target number of words. A document is expected in the mix in proportion to its importance (its size
+class, times that of a column, if one is given), so that the words expected sum to the target; no document more than a few times:
 the whole part of that number is allocated for certain, and for the fractional part p
 the documents are ranked by the random odds over the inclusion odds,
 ``(u / (1 - u)) / (p / (1 - p))``, and taken from the lowest up while their words fit
@@ -17,6 +17,8 @@ from .shared import WORD, materialize
 
 #: Ranks are cut in so many bins, so that a cumulative sum never needs a whole source in one task.
 BINS = 4096
+#: Words from which a document has a weight: short pieces are worth less than articles.
+SIZE_CLASSES = ((0, 1), (64, 2), (512, 3))
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -49,6 +51,25 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), mos
     return levelled.select("source", "source_size", "weight", target.alias("target"))
 
 
+def expected_copies(rows: DataFrame, targets: DataFrame, most_copies: int) -> DataFrame:
+    """(of, no_source, importance, expected): how often a document of a source and an importance is expected in the mix.
+
+    In proportion to the importance, ``most_copies`` at most; what that cuts off falls to the others of the source, so that
+    the words expected are the target. That is a water level again: of the importances from the greatest down, the first that is not cut off
+    fixes the level. The windows run over one row for each importance of a source, of which rounding leaves few.
+    """
+    on = ["of", "no_source"]
+    sums = rows.where("importance > 0").groupBy(*on, "importance").agg(F.sum("size").alias("words")).join(targets.select(*on, "target"), on)
+    order = Window.partitionBy(*on).orderBy(F.desc("importance"))
+    before = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    onward = F.sum(F.col("words") * F.col("importance")).over(order.rowsBetween(0, Window.unboundedFollowing))
+    here = F.when(onward > 0, (F.col("target") - before * most_copies) / onward)
+    levels = sums.withColumn("here", here)
+    free = F.when(F.col("here") * F.col("importance") < most_copies, F.struct(-F.col("importance"), "here"))
+    level = F.min(free).over(Window.partitionBy(*on))["here"]
+    return levels.withColumn("level", level).select(*on, "importance", F.coalesce(F.least(F.col("level") * F.col("importance"), F.lit(float(most_copies))), F.lit(float(most_copies))).alias("expected"))
+
+
 def mix_sources(
     docs: DataFrame,
     *,
@@ -56,6 +77,7 @@ def mix_sources(
     source: str = "source",
     text: str = "text",
     importance: str | None = None,
+    size_classes: tuple[tuple[int, float], ...] = SIZE_CLASSES,
     weights: tuple[float, ...] = (5, 2, 1),
     most_copies: int = 3,
     seed: int = 17,
@@ -68,9 +90,9 @@ def mix_sources(
     doesn't depend on the order of rows. An empty table gives an empty result. Only the named
     columns are read, so further columns of any name do no harm.
 
-    With ``importance`` (a positive column; null or less counts as 0), expected copies are in
-    proportion to it within a source, and stop at ``most_copies``; what that cuts off
-    falls to the closing step only, so very uneven importances may undershoot a target.
+    A document's chances are in proportion to the weight of its size class (pairs of the least number of words and a weight, the
+    greatest that fits counts) and, if one is given, to a column of importance, rounded to 8 binary digits; null or less than 0
+    counts as 0, which is never taken.
     """
     rows = docs.select(
         F.col(key).alias("doc_id"),
@@ -78,22 +100,23 @@ def mix_sources(
         F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
         (F.greatest(F.coalesce(F.col(importance).cast("double"), F.lit(0.0)), F.lit(0.0)) if importance else F.lit(1.0)).alias("importance"),
     )
+    of_size = F.lit(0.0)
+    for least, weight in sorted(size_classes):
+        of_size = F.when(F.col("size") >= least, float(weight)).otherwise(of_size)
+    unit = F.pow(F.lit(2.0), F.floor(F.log2("importance")) - 7)
+    rounded = F.when(F.col("importance") > 0, F.round(F.col("importance") / unit) * unit).otherwise(0.0) if importance else F.col("importance")
+    rows = rows.withColumn("importance", rounded * of_size).withColumn("of", F.coalesce(F.col("source"), F.lit(""))).withColumn("no_source", F.col("source").isNull())
     rows = materialize(rows, "mix-sizes")  # the texts are read once
     targets = source_targets(rows, weights, most_copies)
-    if importance:
-        worth = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("importance")).alias("worth"))
-        targets = targets.join(worth.withColumnRenamed("source", "worth_source"), F.col("source").eqNullSafe(F.col("worth_source")), "left").drop("worth_source")
-    else:
-        targets = targets.withColumn("worth", F.col("source_size").cast("double"))
     targets = materialize(targets.withColumn("of", F.coalesce(F.col("source"), F.lit(""))).withColumn("no_source", F.col("source").isNull()), "mix-targets")
     on = ["of", "no_source"]
-    rate = F.when(F.col("worth") > 0, F.col("target") / F.col("worth")).otherwise(0.0)
-    expected = F.least(rate * F.col("importance"), F.lit(float(most_copies)))
+    expected = materialize(expected_copies(rows, targets, most_copies), "mix-expected")
     u = uniform(F.col("doc_id"), seed)
     ranked = (
-        rows.withColumn("of", F.coalesce(F.col("source"), F.lit(""))).withColumn("no_source", F.col("source").isNull()).drop("source")
+        rows.drop("source")
         .join(targets.drop("source", "weight"), on)
-        .withColumn("expected", F.when(F.col("size") > 0, expected).otherwise(0.0))
+        .join(expected, [*on, "importance"], "left")
+        .withColumn("expected", F.when(F.col("size") > 0, F.coalesce("expected", F.lit(0.0))).otherwise(0.0))
         .withColumn("whole", F.floor("expected"))
         .withColumn("p", F.col("expected") - F.col("whole"))
         .withColumn("u", u)

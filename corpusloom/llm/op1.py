@@ -1,4 +1,7 @@
-"""Query op1: all documents mixed by source, with its SQL."""
+"""Query op1: all documents mixed by source, with its SQL.
+
+Chances are unequal within a source: in proportion to 1 for documents of fewer than 64 words, 2 of fewer than 512, else 3.
+"""
 
 from __future__ import annotations
 
@@ -18,6 +21,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), e AS (
+  SELECT *, CASE WHEN size >= 512 THEN 3 WHEN size >= 64 THEN 2 ELSE 1 END AS importance FROM d
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source
 ), w AS (
@@ -30,11 +35,18 @@ WITH d AS (
   SELECT arg_min(here, turn) AS level FROM l WHERE cap > here * weight
 ), t AS (
   SELECT source, k, source_size, least(cap::DOUBLE, coalesce((SELECT level FROM n) * weight, cap::DOUBLE)) AS target FROM l
+), i AS (
+  SELECT t.k, t.target, importance, sum(size)::BIGINT AS words FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source GROUP BY ALL
+), b AS (
+  SELECT *, (target - 3 * coalesce(sum(words) OVER (PARTITION BY k ORDER BY importance DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / nullif(sum(words * importance) OVER (PARTITION BY k ORDER BY importance DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0)::DOUBLE AS here FROM i
+), v AS (
+  SELECT k, arg_max(here, importance) AS level FROM b WHERE here * importance < 3 GROUP BY k
 ), r AS (
   SELECT d.doc_id, d.size, t.k, t.source_size, t.target,
-    CASE WHEN d.size > 0 THEN t.target / t.source_size ELSE 0 END AS expected,
+    CASE WHEN d.size > 0 THEN coalesce(least(v.level * d.importance, 3.0::DOUBLE), 3.0::DOUBLE) ELSE 0 END AS expected,
     (('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  FROM e d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN v ON v.k = t.k
 ), q AS (
   SELECT *, floor(expected)::BIGINT AS whole, expected - floor(expected) AS p FROM r
 ), o AS (

@@ -62,3 +62,29 @@ def test_importance_gives_unequal_chances(spark):
     got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string, worth double"), weights=(1, 9), importance="worth").collect()
     heavy, light = (sum(r.copies for r in got if r.doc_id < 400 and r.doc_id % 2 == k) for k in (1, 0))
     assert 2 < heavy / max(1, light) < 8
+
+
+def test_words_expected_meet_the_target_though_copies_are_cut_off(spark):
+    """Very uneven importances: shared again among those that are not cut off, against a plain loop."""
+    from corpusloom.llm.mixing import expected_copies
+
+    importance = {0.0: 50, 1.0: 300, 2.0: 40, 64.0: 30, 1000.0: 5}
+    for target in (10.0, 300.0, 900.0, 1124.9, 1125.0):
+        rows = spark.createDataFrame([("a", False, w, n) for w, n in importance.items()], "of string, no_source boolean, importance double, size long")
+        targets = spark.createDataFrame([("a", False, target)], "of string, no_source boolean, target double")
+        got = {r.importance: r.expected for r in expected_copies(rows, targets, 3).collect()}
+        capped = set()
+        while True:
+            free = {w: n for w, n in importance.items() if w and w not in capped}
+            level = (target - 3 * sum(importance[w] for w in capped)) / sum(w * n for w, n in free.items()) if free else 0
+            more = {w for w in free if level * w >= 3}
+            if not more:
+                break
+            capped |= more
+        assert got == {w: pytest.approx(3.0 if w in capped else level * w) for w in importance if w}
+        assert sum(got[w] * importance[w] for w in got) == pytest.approx(target)
+    docs = spark.createDataFrame([(i, "w " * (600 if i % 2 else 20), "a" if i < 1000 else "b") for i in range(4000)], "doc_id long, text string, source string")
+    got = mix_sources(docs, weights=(1, 15)).where("doc_id < 1000").collect()
+    taken = [sum(r.copies for r in got if r.doc_id % 2 == k) for k in (1, 0)]
+    assert 2 < taken[0] / taken[1] < 4.5  # three times the chance of a short one
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 600
