@@ -32,6 +32,8 @@ from .shared import BROADCAST_IDS, WORD, keep_ids, lower_ascii, materialize, one
 MAX63 = "9223372036854775807L"
 #: A part of a component holds about so many keys, and a cell of it about twice so many shingles, besides a single longer set.
 CELL = 200_000
+#: A key of more rows is cut in buckets of about so many.
+HOT = 2000
 SKETCH_WORDS = 8
 
 
@@ -130,7 +132,8 @@ def candidate_pairs(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
     """(pairs, component): distinct pairs a < b that agree on a key each of them must look at, with their sizes, and
     the component (id, component) of all that could be paired.
 
-    A pair may agree on hundreds of keys. The keys of a component are therefore laid out together (a large one's in several
+    A key that more than ``HOT`` sets look at is cut in buckets, and its pairs are made bucket by bucket, so that no task
+    makes all of them. A pair may agree on hundreds of keys. The keys of a component are therefore laid out together (a large one's in several
     parts), so that its pairs are made and made distinct in place, before they are shuffled.
     """
     spark = rows.sparkSession
@@ -138,16 +141,21 @@ def candidate_pairs(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
     of = Window.partitionBy("id", "tag")
     # One shuffle by (id, tag) both counts and ranks the keys of a set.
     kept = rows.where("tag < 4").withColumns({"c": F.count("*").over(of), "r": F.row_number().over(of.orderBy("together", "key"))})
-    looked = kept.join(told, ["id", "tag"]).where("c >= need AND r <= c - need + 1").select("key", "id", "tag", "n")
-    hub = F.min("id").over(Window.partitionBy("key"))
-    looked = materialize(looked.withColumn("hub", hub), "ng-prefixes")
+    looked = materialize(kept.join(told, ["id", "tag"]).where("c >= need AND r <= c - need + 1").select("key", "id", "tag", "n"), "ng-prefixes")
+    # Counted by partial aggregates; the join back may be split where a key is hot, as a window could not.
+    hubs = looked.groupBy("key").agg(F.min("id").alias("hub"), F.ceil(F.count("*") / F.lit(HOT)).cast("int").alias("splits"))
+    looked = materialize(looked.join(hubs, "key"), "ng-looked")
     component = connected_components(looked.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     weight = looked.groupBy("id").agg(F.count("*").alias("keys")).join(component, "id").groupBy("component").agg(F.ceil(F.sum("keys") / F.lit(CELL)).cast("int").alias("parts"))
     places = materialize(component.join(weight, "component"), "ng-parts")
-    laid = _with_ids(looked, places, "id").select("key", "id", "tag", "n", F.expr("xxhash64(component, pmod(key, parts))").alias("cell"))
+    # A hot key's rows are cut in as many buckets as it needs, and each two buckets meet in a cell of their own.
+    placed = _with_ids(looked, places, "id").withColumn("bucket", F.expr("CAST(pmod(xxhash64(id), splits) AS INT)")).withColumn("other", F.expr("explode(sequence(0, splits - 1))"))
+    cell = "CASE WHEN splits = 1 THEN xxhash64(component, pmod(key, parts)) ELSE xxhash64(component, key, least(bucket, other), greatest(bucket, other)) END"
+    laid = placed.select("key", "id", "tag", "n", "bucket", "other", F.expr(cell).alias("cell"))
     laid = laid.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell")
-    a, b = (laid.select("cell", "key", F.col("id").alias(x), F.col("tag").alias(f"t{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    near = f"a < b AND NOT (ta = 1 AND tb = 1) AND 100L * least(na, nb) >= {percent}L * greatest(na, nb)"
+    a, b = (laid.select("cell", "key", *(F.col(c).alias(f"{to}{x}") for c, to in (("id", ""), ("tag", "t"), ("n", "n"), ("bucket", "bucket_"), ("other", "other_")))) for x in "ab")
+    once = "(bucket_a <> bucket_b OR (bucket_a = other_a AND bucket_b = other_b))"  # rows of one bucket meet in its own cell only
+    near = f"a < b AND NOT (ta = 1 AND tb = 1) AND {once} AND 100L * least(na, nb) >= {percent}L * greatest(na, nb)"
     joined = a.join(b, ["cell", "key"]).where(near).select("a", "b", "na", "nb").distinct()
     return _by_cell(spark, lambda: materialize(joined, "ng-pairs")), component
 

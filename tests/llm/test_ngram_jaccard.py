@@ -50,9 +50,10 @@ def variants(rng, base, count, most):
         yield " ".join(w)
 
 
-@pytest.mark.parametrize("cell", [200_000, 150])  # the smaller one cuts components into many cells
-def test_all_links_near_the_threshold(spark, monkeypatch, cell):
+@pytest.mark.parametrize(("cell", "hot"), [(200_000, 2000), (150, 3)])  # the smaller ones cut components and keys into many parts
+def test_all_links_near_the_threshold(spark, monkeypatch, cell, hot):
     monkeypatch.setattr(ng, "CELL", cell)
+    monkeypatch.setattr(ng, "HOT", hot)
     rng = random.Random(5)
     texts = []
     for size in (1, 2, 3, 4, 5, 7, 9, 16, 20, 33, 40, 64, 90, 130, 200):
@@ -73,6 +74,20 @@ def test_sketches_too_small_for_their_sets_lose_nothing(spark, monkeypatch):
     assert got(spark, rows) == brute(rows)
 
 
+def test_one_hot_group_is_cut_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ng, "HOT", 7)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(80)]
+    rows = list(enumerate([*variants(rng, base, 90, 2), *(" ".join(f"u{rng.randrange(10**6)}" for _ in range(60)) for _ in range(60))]))
+    assert got(spark, rows) == brute(rows)
+    docs = spark.createDataFrame(rows, "id long, text string")
+    from pyspark.sql import Window
+
+    keyed = ng.sketch_rows(ng.shingle_sets(docs, 3), 70).withColumn("together", F.count("*").over(Window.partitionBy("key"))).where("together > 1 OR tag >= 4")
+    pairs = ng.candidate_pairs(keyed, 70)[0].collect()
+    assert len(pairs) == len({(r.a, r.b) for r in pairs})
+
+
 def test_edges(spark):
     long = " ".join(f"w{i % 5000}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "a b"), (5, "A b"), (6, long), (7, long + " end"), (None, "a b"), (8, "\x85"), (9, "a b c"), (9, "a b c")]
