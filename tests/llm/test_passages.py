@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corpusloom.llm.chaining import Fenwick, Settings, chains, common, covering_runs, linked, matched_runs, repeated_passages, seeds
+from corpusloom.llm.chaining import Fenwick, Runs, Settings, chains, common, covering_runs, linked, matched_runs, repeated_passages, seeds
 from corpusloom.llm.decontamination import Benchmark, find_leaks, item_codes, within
 from corpusloom.llm.tokens import Codes, shingles
 
@@ -26,6 +26,17 @@ def test_seeds_of_a_shared_run_agree():
     assert len(seeds(codes_of.of("a b"), 6, 8)) == 0 and len(seeds(codes_of.of("a b c d e f"), 6, 8)) == 1
 
 
+def test_codes_of_runs_are_those_of_their_words():
+    rng = random.Random(14)
+    for n in (3, 50, 4000):
+        codes = Codes().of(" ".join(words(rng, n // 3)) + " " + " ".join(f"w{k % 7}" for k in range(n - n // 3)))
+        got = Runs(codes).at(np.arange(len(codes)), 5)
+        seen = {}
+        for at in range(len(codes) - 4):
+            assert got[at] and seen.setdefault(codes[at : at + 5].tobytes(), got[at]) == got[at]
+        assert len(set(seen.values())) == len(seen) and not got[max(0, len(codes) - 4) :].any()
+
+
 def test_fenwick_gives_the_best_before():
     rng = random.Random(2)
     tree, values = Fenwick(50), [(0.0, -1)] * 50
