@@ -7,7 +7,8 @@ within the radius of a window's fingerprint shares an entry with it. The items f
 weighted Jaccard similarity of word shingles.
 
 A window that cannot be similar to any item is not fingerprinted: its shingles that some item has must weigh the
-threshold's share of the lightest item of that length. That drops no window that could be verified.
+threshold's share of the lightest item of that length and of the window's other shingles. That drops no window that could
+be verified.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from .tokens import Codes, shingles
 
 BLOCKS, BLOCK_BITS = 4, 16
 SCHEMA = "doc_id long, item_id long, start_word int, n_words int, hamming int, similarity double"
-#: Windows of one text that are fingerprinted at a time.
-AT_ONCE = 4096
+#: Words of a text in which windows begin that are searched at a time.
+AT_ONCE = 8192
 
 
 def _signs(codes: np.ndarray) -> np.ndarray:
@@ -89,15 +90,14 @@ class Length:
     index: list[tuple[np.ndarray, np.ndarray]]
 
     def near(self, fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(fingerprint number, item of this length) of all that share an entry: every pair within the radius, and some beyond."""
+        """(fingerprint number, item of this length) of all that share an entry, as often as they do: every pair within the radius, and some beyond."""
         whose, which = [], []
         for b, (begins, entries) in enumerate(self.index):
             v = ((fingerprints >> np.uint64(BLOCK_BITS * b)) & np.uint64(0xFFFF)).astype(np.int64)
             n = begins[v + 1] - begins[v]
             whose.append(np.repeat(np.arange(len(v)), n))
             which.append(entries[np.repeat(begins[v] - np.cumsum(n) + n, n) + np.arange(n.sum())])
-        pairs = np.unique(np.concatenate(whose) * len(self.items) + np.concatenate(which))
-        return pairs // len(self.items), pairs % len(self.items)
+        return np.concatenate(whose), np.concatenate(which)
 
 
 @dataclass
@@ -142,38 +142,55 @@ class Benchmark:
     def search(self, codes: np.ndarray) -> list[tuple[int, int, int, int, float]]:
         """(item number, start, words, hamming, similarity) of the best window of each item found in a text."""
         found: dict[int, tuple[float, int, int, int]] = {}
-        by_k: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        word_weights = None
-        for size, group in self.lengths.items():
-            if size > len(codes):
-                continue
-            k = min(self.k, size)  # the shingle of an item of fewer words is the whole of it
-            if k not in by_k:
-                s = shingles(codes, k)
-                w, hit = self.weights.of(s)
-                by_k[k] = s, w, np.concatenate([[0], np.cumsum(w * hit)])
-            s, w, run = by_k[k]
-            width = size - k + 1
-            # Repeats counted, so an upper bound of the weight that a window shares with any item.
-            starts = np.flatnonzero(run[width:] - run[:-width] >= self.threshold * group.least - 1e-9)
-            for at in range(0, len(starts), AT_ONCE):
-                some = starts[at : at + AT_ONCE]
-                if word_weights is None:
-                    word_weights = self.weights.of(codes)[0]
-                for begin, end in _stretches(some, size):
-                    inside = some[(some >= begin) & (some + size <= end)]
-                    sums = np.concatenate([np.zeros((1, 64)), np.cumsum(_signs(codes[begin:end]) * word_weights[begin:end, None], axis=0)])
-                    prints = _pack(sums[inside - begin + size] - sums[inside - begin])
-                    whose, which = group.near(prints)
-                    apart = np.bitwise_count(prints[whose] ^ group.prints[which])
-                    for j in np.flatnonzero(apart <= self.radius):
-                        n, start = int(group.items[which[j]]), int(inside[whose[j]])
-                        similarity = self.similarity(s[start : start + width], w[start : start + width], n)
-                        new = (round(similarity, 12), -int(apart[j]), -start, size)
-                        if similarity >= self.threshold and (n not in found or new > found[n]):
-                            found[n] = new
+        longest = max(self.lengths, default=0)
+        # Windows begin in one stretch and may end in the next, so memory doesn't grow with the text.
+        for begin in range(0, len(codes) if longest else 0, AT_ONCE):
+            part = codes[begin : begin + AT_ONCE + longest - 1]
+            for k in {min(self.k, size) for size in self.lengths}:  # the shingle of an item of fewer words is the whole of it
+                if len(part) >= k:
+                    self._search(part, begin, k, longest, found)
         return [(n, -start, size, -apart, round(similarity, 6)) for n, (similarity, apart, start, size) in sorted(found.items())]
 
+    def _search(self, codes: np.ndarray, begin: int, k: int, longest: int, found: dict[int, tuple[float, int, int, int]]) -> None:
+        s = shingles(codes, k)
+        w, hit = self.weights.of(s)
+        if not hit.any():
+            return
+        total = np.concatenate([[0], np.cumsum(w * hit)])
+        bound = sums = None
+        # A window's shared weight is at most that of its shingles that items have (repeats counted): first seen to for several lengths at once.
+        sizes = sorted(size for size in self.lengths if min(self.k, size) == k and size <= len(codes))
+        for group in (sizes[i : i + 8] for i in range(0, len(sizes), 8)):
+            width = group[-1] - k + 1
+            if float((total[width:] - total[:-width]).max()) < self.threshold * min(self.lengths[size].least for size in group) - 1e-9:
+                continue
+            if bound is None:
+                # What is shared also weighs against the rest of the window: its other shingles, but those that repeat within reach.
+                order = np.argsort(s, kind="stable")
+                again = np.flatnonzero(s[order[1:]] == s[order[:-1]])
+                fresh = np.ones(len(s), dtype=bool)
+                fresh[order[again + 1][order[again + 1] - order[again] < longest]] = False
+                bound = total - self.threshold * np.concatenate([[0], np.cumsum(w * (fresh & ~hit))])
+            for size in group:
+                length, width = self.lengths[size], size - k + 1
+                starts = np.flatnonzero(bound[width:] - bound[:-width] >= self.threshold * length.least - 1e-9)
+                starts = starts[starts < AT_ONCE]
+                if not len(starts):
+                    continue
+                if sums is None:
+                    sums = np.concatenate([np.zeros((1, 64)), np.cumsum(_signs(codes) * self.weights.of(codes)[0][:, None], axis=0)])
+                prints = _pack(sums[starts + size] - sums[starts])
+                whose, which = length.near(prints)
+                apart = np.bitwise_count(prints[whose] ^ length.prints[which])
+                reach = bound[starts + width] - bound[starts]
+                able = np.flatnonzero((apart <= self.radius) & (reach[whose] >= self.threshold * self.totals[length.items[which]] - 1e-9))
+                for j in able[np.unique(whose[able] * len(length.items) + which[able], return_index=True)[1]].tolist():
+                    n, start = int(length.items[which[j]]), int(starts[whose[j]])
+                    similarity = self.similarity(s[start : start + width], w[start : start + width], n)
+                    new = (round(similarity, 12), -int(apart[j]), -(start + begin), size)
+                    if similarity >= self.threshold and (n not in found or new > found[n]):
+                        found[n] = new
+
     def similarity(self, window: np.ndarray, weights: np.ndarray, n: int) -> float:
         """Weighted Jaccard similarity of the distinct shingles of a window and item n."""
         distinct, first = np.unique(window, return_index=True)
@@ -183,14 +200,6 @@ class Benchmark:
         return shared / (float(weights[first].sum()) + float(self.totals[n]) - shared)
 
 
-def _stretches(starts: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
-    """(begin, end) of the runs of words that windows at sorted starts cover without a gap."""
-    if len(starts):
-        cuts = np.flatnonzero(np.diff(starts) > size)
-        for i, j in zip(np.r_[0, cuts + 1], np.r_[cuts, len(starts) - 1], strict=True):
-            yield int(starts[i]), int(starts[j]) + size
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", most_items: int = 2000, **settings) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, hamming, similarity): the best window for each item that a text holds.
 
