@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
@@ -82,22 +83,21 @@ def item_codes(codes: np.ndarray, k: int) -> np.ndarray:
 
 @dataclass
 class Length:
-    """The items of one number of words, and their multi-index: for each block the entries of all values end to end, and where each value's begin."""
+    """The items of one number of words, and their multi-index: the entries of all values of all blocks end to end, and where each value's begin."""
 
     items: np.ndarray
     prints: np.ndarray
     least: float
-    index: list[tuple[np.ndarray, np.ndarray]]
+    begins: np.ndarray
+    entries: np.ndarray
 
     def near(self, fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(fingerprint number, item of this length) of all that share an entry, as often as they do: every pair within the radius, and some beyond."""
-        whose, which = [], []
-        for b, (begins, entries) in enumerate(self.index):
-            v = ((fingerprints >> np.uint64(BLOCK_BITS * b)) & np.uint64(0xFFFF)).astype(np.int64)
-            n = begins[v + 1] - begins[v]
-            whose.append(np.repeat(np.arange(len(v)), n))
-            which.append(entries[np.repeat(begins[v] - np.cumsum(n) + n, n) + np.arange(n.sum())])
-        return np.concatenate(whose), np.concatenate(which)
+        blocks = np.arange(BLOCKS, dtype=np.uint64)[:, None]
+        v = (((fingerprints >> (np.uint64(BLOCK_BITS) * blocks)) & np.uint64(0xFFFF)) + (blocks << np.uint64(BLOCK_BITS))).astype(np.int64).ravel()
+        begins = self.begins[v].astype(np.int64)
+        n = self.begins[v + 1] - begins
+        return np.repeat(np.tile(np.arange(len(fingerprints)), BLOCKS), n), self.entries[np.repeat(begins - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
 
 @dataclass
@@ -130,15 +130,23 @@ class Benchmark:
         lengths = {}
         for size in np.unique(sizes).tolist():
             mine = np.flatnonzero(sizes == size)
-            index = []
-            for b in range(BLOCKS):
-                values = ((prints[mine] >> np.uint64(BLOCK_BITS * b)) & np.uint64(0xFFFF)).astype(np.uint16)
-                entries = (values[:, None] ^ masks).ravel()
-                order = np.argsort(entries, kind="stable")
-                index.append((np.searchsorted(entries[order], np.arange((1 << BLOCK_BITS) + 1)), np.repeat(np.arange(len(mine), dtype=np.int32), len(masks))[order]))
-            lengths[size] = Length(mine, prints[mine], float(totals[mine].min()), index)
+            blocks = [((prints[mine] >> np.uint64(BLOCK_BITS * b)) & np.uint64(0xFFFF)).astype(np.uint16)[:, None] ^ masks for b in range(BLOCKS)]
+            entries = np.concatenate([x.ravel().astype(np.int64) + (b << BLOCK_BITS) for b, x in enumerate(blocks)])
+            order = np.argsort(entries, kind="stable")
+            begins = np.searchsorted(entries[order], np.arange((BLOCKS << BLOCK_BITS) + 1)).astype(np.int32)
+            owners = np.tile(np.repeat(np.arange(len(mine), dtype=np.int32), len(masks)), BLOCKS)[order]
+            lengths[size] = Length(mine, prints[mine], float(totals[mine].min()), begins, owners)
         return cls([i for i, _ in rows], sets, totals, prints, lengths, weights, k, radius, threshold)
 
+    @cached_property
+    def groups(self) -> dict[int, list[tuple[list[int], float]]]:
+        """By the words of their shingles (of an item of fewer words, all), the lengths in groups of eight, and the least total weight of each."""
+        out: dict[int, list[tuple[list[int], float]]] = {}
+        for k in sorted({min(self.k, size) for size in self.lengths}):
+            sizes = sorted(size for size in self.lengths if min(self.k, size) == k)
+            out[k] = [(g, min(self.lengths[size].least for size in g)) for g in (sizes[i : i + 8] for i in range(0, len(sizes), 8))]
+        return out
+
     def search(self, codes: np.ndarray) -> list[tuple[int, int, int, int, float]]:
         """(item number, start, words, hamming, similarity) of the best window of each item found in a text."""
         found: dict[int, tuple[float, int, int, int]] = {}
@@ -146,12 +154,12 @@ class Benchmark:
         # Windows begin in one stretch and may end in the next, so memory doesn't grow with the text.
         for begin in range(0, len(codes) if longest else 0, AT_ONCE):
             part = codes[begin : begin + AT_ONCE + longest - 1]
-            for k in {min(self.k, size) for size in self.lengths}:  # the shingle of an item of fewer words is the whole of it
+            for k, groups in self.groups.items():
                 if len(part) >= k:
-                    self._search(part, begin, k, longest, found)
+                    self._search(part, begin, k, groups, longest, found)
         return [(n, -start, size, -apart, round(similarity, 6)) for n, (similarity, apart, start, size) in sorted(found.items())]
 
-    def _search(self, codes: np.ndarray, begin: int, k: int, longest: int, found: dict[int, tuple[float, int, int, int]]) -> None:
+    def _search(self, codes: np.ndarray, begin: int, k: int, groups: list[tuple[list[int], float]], longest: int, found: dict[int, tuple[float, int, int, int]]) -> None:
         s = shingles(codes, k)
         w, hit = self.weights.of(s)
         if not hit.any():
@@ -159,10 +167,9 @@ class Benchmark:
         total = np.concatenate([[0], np.cumsum(w * hit)])
         bound = sums = None
         # A window's shared weight is at most that of its shingles that items have (repeats counted): first seen to for several lengths at once.
-        sizes = sorted(size for size in self.lengths if min(self.k, size) == k and size <= len(codes))
-        for group in (sizes[i : i + 8] for i in range(0, len(sizes), 8)):
-            width = group[-1] - k + 1
-            if float((total[width:] - total[:-width]).max()) < self.threshold * min(self.lengths[size].least for size in group) - 1e-9:
+        for group, least in groups:
+            width = min(group[-1], len(codes)) - k + 1
+            if float((total[width:] - total[:-width]).max()) < self.threshold * least - 1e-9:
                 continue
             if bound is None:
                 # What is shared also weighs against the rest of the window: its other shingles, but those that repeat within reach.
@@ -172,6 +179,8 @@ class Benchmark:
                 fresh[order[again + 1][order[again + 1] - order[again] < longest]] = False
                 bound = total - self.threshold * np.concatenate([[0], np.cumsum(w * (fresh & ~hit))])
             for size in group:
+                if size > len(codes):
+                    break
                 length, width = self.lengths[size], size - k + 1
                 starts = np.flatnonzero(bound[width:] - bound[:-width] >= self.threshold * length.least - 1e-9)
                 starts = starts[starts < AT_ONCE]
@@ -184,8 +193,11 @@ class Benchmark:
                 apart = np.bitwise_count(prints[whose] ^ length.prints[which])
                 reach = bound[starts + width] - bound[starts]
                 able = np.flatnonzero((apart <= self.radius) & (reach[whose] >= self.threshold * self.totals[length.items[which]] - 1e-9))
-                for j in able[np.unique(whose[able] * len(length.items) + which[able], return_index=True)[1]].tolist():
+                able = able[np.unique(whose[able] * len(length.items) + which[able], return_index=True)[1]]
+                for j in able[np.argsort(apart[able], kind="stable")].tolist():
                     n, start = int(length.items[which[j]]), int(starts[whose[j]])
+                    if n in found and found[n][:2] == (1.0, 0):
+                        continue  # nothing is better, and the first of equals came first
                     similarity = self.similarity(s[start : start + width], w[start : start + width], n)
                     new = (round(similarity, 12), -int(apart[j]), -(start + begin), size)
                     if similarity >= self.threshold and (n not in found or new > found[n]):
