@@ -53,7 +53,7 @@ def cmd_embed(spark: SparkSession, args) -> None:
         rows = chunking.chunk_entries(rows, args.chunk_tokens, args.overlap_tokens)
     rows = rows.drop("idx") if args.scales or args.chunk else rows
     model = _encoder(args)
-    cache = os.path.join(os.path.dirname(args.output), f".emb_cache_{os.path.splitext(os.path.basename(args.input))[0]}")
+    cache = os.path.join(os.path.dirname(args.output), f".corpusloom_cache_{os.path.splitext(os.path.basename(args.input))[0]}")
     got = embed.embed_entries(rows, model, cache, args.force)
     write = files.write_json_index if args.format == "json" else files.write_index
     meta = write(got, args.output, {"embedding_model": model.name})

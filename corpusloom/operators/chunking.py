@@ -23,9 +23,14 @@ def _check(size: int, overlap: int) -> None:
 def word_windows(text: Column | str, size: int, overlap: int) -> Column:
     """Chunks of ``size`` words that overlap by ``overlap``, joined by one blank; the last one holds what is left."""
     _check(size, overlap)
-    step, w = size - overlap, words(text)
-    n = F.greatest(F.ceil((F.size(w) - F.lit(size)) / F.lit(step)).cast("int") + 1, F.lit(1))
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(w, i * step + 1, F.lit(size)), " "))
+    step = size - overlap
+
+    def cut(w: Column) -> Column:
+        n = F.greatest(F.ceil((F.size(w) - F.lit(size)) / F.lit(step)).cast("int") + 1, F.lit(1))
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(w, i * step + 1, F.lit(size)), " "))
+
+    # The words are bound as an element of an array: a lambda that named the split would have it done for each chunk.
+    return F.flatten(F.transform(F.array(words(text)), cut))
 
 
 def fold_sentences(parts: list[str], size: int, overlap: int) -> list[str]:
@@ -64,7 +69,7 @@ def _sentence_chunks(size: int, overlap: int):
     @F.pandas_udf(ArrayType(StringType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda parts: fold_sentences(list(parts), size, overlap))
+            yield batch.map(lambda parts: None if parts is None else fold_sentences(list(parts), size, overlap))
 
     return run
 
@@ -72,15 +77,14 @@ def _sentence_chunks(size: int, overlap: int):
 def with_chunks(df: DataFrame, size: int, overlap: int, text: str = "text", out: str = "chunks") -> DataFrame:
     """``df`` with an array of chunks. Texts within the budget are one chunk as they are; those of one sentence are cut by words.
 
-    The three kinds are separate branches, so that Python sees only the texts that need it.
+    Python is given the sentences of the texts that need it, null for all others.
     """
     _check(size, overlap)
     counted = df.withColumn("__n", word_count(text)).withColumn("__s", sentences(text))
-    short = counted.where(F.col("__n") <= size).withColumn(out, F.array(text))
-    single = counted.where((F.col("__n") > size) & (F.size("__s") <= 1)).withColumn(out, word_windows(text, size, overlap))
-    several = counted.where((F.col("__n") > size) & (F.size("__s") > 1)).withColumn(out, _sentence_chunks(size, overlap)("__s"))
-    empty = counted.where(F.col(text).isNull()).withColumn(out, F.array(F.col(text)))
-    return short.where(F.col(text).isNotNull()).unionByName(single).unionByName(several).unionByName(empty).drop("__n", "__s")
+    long = F.coalesce(F.col("__n") > size, F.lit(False))
+    several = counted.withColumn("__several", _sentence_chunks(size, overlap)(F.when(long & (F.size("__s") > 1), F.col("__s"))))
+    chunks = F.when(~long, F.array(text)).when(F.size("__s") <= 1, word_windows(text, size, overlap)).otherwise(F.col("__several"))
+    return several.withColumn(out, chunks).drop("__n", "__s", "__several")
 
 
 def merge_metadata(metadata: Column | str, new: dict[str, Column]) -> Column:
@@ -92,23 +96,20 @@ def merge_metadata(metadata: Column | str, new: dict[str, Column]) -> Column:
     return F.to_variant_object(F.map_concat(kept, more))
 
 
-def _titled(kind: str) -> Column:
-    part = F.concat(F.col("title"), F.lit(f" ({kind}part "), (F.col("chunk_index") + 1).cast("string"), F.lit("/"), F.col("total_chunks").cast("string"), F.lit(")"))
-    return F.when(F.coalesce(F.col("title"), F.lit("")) != "", part)
-
-
-def _children(long: DataFrame, infix: str, kind: str, extra: dict[str, Column]) -> DataFrame:
-    rows = long.withColumn("total_chunks", F.size("chunks")).select("*", F.posexplode("chunks").alias("chunk_index", "chunk"))
-    lineage = {"parent_id": F.col("id"), "chunk_index": F.col("chunk_index"), "total_chunks": F.col("total_chunks"), **extra}
-    return rows.withColumns(
-        {
-            "metadata": merge_metadata("metadata", lineage),
-            "parent_id": F.col("id"),
-            "title": _titled(kind),
-            "id": F.concat(F.col("id"), F.lit(f"__{infix}chunk_"), F.col("chunk_index").cast("string")),
-            "text": F.col("chunk"),
-        }
-    ).drop("chunk", "chunks")
+def _rows(chunked: DataFrame, infix: str, kind: str, extra: dict[str, Column], whole: dict[str, Column]) -> DataFrame:
+    """A row a chunk. Entries of one chunk stay as they are, but for the columns ``whole``."""
+    rows = chunked.select("*", F.size("chunks").alias("__total"), F.posexplode("chunks").alias("__at", "__chunk")).drop("chunks")
+    cut, at, total = F.col("__total") > 1, F.col("__at"), F.col("__total")
+    lineage = {"parent_id": F.col("id"), "chunk_index": at, "total_chunks": total}
+    title = F.concat(F.col("title"), F.lit(f" ({kind}part "), (at + 1).cast("string"), F.lit("/"), total.cast("string"), F.lit(")"))
+    of_chunk = {
+        "metadata": merge_metadata("metadata", {**lineage, **extra}),
+        "title": F.when(F.coalesce(F.col("title"), F.lit("")) != "", title),
+        "id": F.concat(F.col("id"), F.lit(f"__{infix}chunk_"), at.cast("string")),
+        **{c: F.lit(None).cast(rows.schema[c].dataType) for c in ("content_hash", "embedding") if c in rows.columns},
+    }
+    columns = {c: F.when(cut, v).otherwise(whole.get(c, F.col(c))) for c, v in of_chunk.items()}
+    return rows.withColumns({**{c: F.when(cut, v) for c, v in lineage.items()}, **columns, "text": F.col("__chunk")}).drop("__total", "__at", "__chunk")
 
 
 def _emptied(df: DataFrame) -> DataFrame:
@@ -124,10 +125,7 @@ def chunk_entries(df: DataFrame, chunk_tokens: int = 500, overlap_tokens: int =
     Adds parent_id, chunk_index and total_chunks, null for entries that were not cut; ``metadata`` of
     chunks holds them, too. Chunks have neither hash nor vector. Order: idx (if any), chunk_index.
     """
-    chunked = with_chunks(df, chunk_tokens, overlap_tokens)
-    whole = chunked.where(F.size("chunks") <= 1).drop("chunks")
-    whole = whole.withColumns({"parent_id": F.lit(None).cast("string"), "chunk_index": F.lit(None).cast("int"), "total_chunks": F.lit(None).cast("int")})
-    return whole.unionByName(_emptied(_children(chunked.where(F.size("chunks") > 1), "", "", {})), allowMissingColumns=True)
+    return _rows(with_chunks(df, chunk_tokens, overlap_tokens), "", "", {}, {})
 
 
 def multiscale_chunk_entries(df: DataFrame, scales: list[int], overlap_tokens: int = 50) -> DataFrame:
@@ -145,7 +143,6 @@ def multiscale_chunk_entries(df: DataFrame, scales: list[int], overlap_tokens: i
     long = counted.where(F.col("__n") > least).drop("__n")
     for k, scale in enumerate(scales):
         chunked = with_chunks(long, scale, min(overlap_tokens, scale - 1)).withColumns({"scale": F.lit(scale), "scale_pos": F.lit(k)})
-        whole = chunked.where(F.size("chunks") <= 1).drop("chunks").withColumns({**lineage, "metadata": merge_metadata("metadata", {"scale": F.lit(scale)}), "id": F.concat("id", F.lit(f"__s{scale}"))})
-        cut = _children(chunked.where(F.size("chunks") > 1), f"s{scale}_", f"s{scale} ", {"scale": F.lit(scale)})
-        out = out.unionByName(_emptied(whole)).unionByName(_emptied(cut))
+        whole = {"metadata": merge_metadata("metadata", {"scale": F.lit(scale)}), "id": F.concat("id", F.lit(f"__s{scale}"))}
+        out = out.unionByName(_emptied(_rows(chunked, f"s{scale}_", f"s{scale} ", {"scale": F.lit(scale)}, whole)))
     return out

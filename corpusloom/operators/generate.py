@@ -18,7 +18,7 @@ from .packing import CHARS_PER_TOKEN, MAX_CHARS, manifest_text, pack_batches
 
 Generate = Callable[[str], str]
 NO_ENTRIES = "No entries match."
-RETRY_AFTER = re.compile("retry" + r"(Delay|)" + r"[:\s\"]*" + r"(?P<seconds>[0-9]+)")
+RETRY_AFTER = re.compile(r"""retry(?:delay)?[\s:"]*(?P<seconds>[0-9]+)""", re.IGNORECASE)
 
 
 class Overflow(Exception):
@@ -30,7 +30,7 @@ class RateLimited(Exception):
 
 
 def retry_delay(message: str, default: float = 15.0) -> float:
-    """Seconds named behind ``retry`` or ``retryDelay`` in a provider's message."""
+    """Seconds named behind ``retry`` or ``retryDelay``, in any case, in a provider's message."""
     named = RETRY_AFTER.search(message)
     return float(named["seconds"]) if named else default
 

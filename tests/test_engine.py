@@ -228,5 +228,20 @@ def test_json_round_trip_writes_the_whole_corpus(spark, monkeypatch):
     written = []
     monkeypatch.setattr(files, "write_json_index", lambda df, path, metadata=None, write=files.write_json_index: written.append(write(df, path, metadata)))
     sf = "/root/testdata/sf0.001"
-    assert roster.QUERIES["json_index_round_trip"](spark, sf).count() == 60
-    assert written[0]["total_entries"] == roster.corpus(spark, sf).count() > 60
+    shown = roster.QUERIES["json_index_round_trip"](spark, sf).count()
+    assert written[0]["total_entries"] == roster.corpus(spark, sf).count() == shown > 60
+
+
+def test_retry_delay_in_any_case():
+    from corpusloom.operators.generate import retry_delay
+
+    assert [retry_delay(m) for m in ("Retry: 30", 'retryDelay": "7s"', "RETRY 4", "no hint")] == [30.0, 7.0, 4.0, 15.0]
+
+
+def test_word_windows_split_a_text_once(spark):
+    from corpusloom.operators.chunking import word_windows
+
+    text = " ".join(f"w{i}" for i in range(20_000))
+    df = spark.createDataFrame([(text,), ("a b",), ("",), (None,)], "text string").select(word_windows("text", 100, 20).alias("c"))
+    rows = [r.c for r in df.collect()]
+    assert len(rows[0]) == 250 and rows[0][1].split()[0] == "w80" and rows[1] == ["a b"]
