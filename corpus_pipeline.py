@@ -2,7 +2,9 @@
 masked, sources mixed to target weights.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again for the next one. Rows
-with null texts or ids pass the stages as documents without words; the mix, which is the last, takes none of them.
+with null texts pass the stages as documents without words; the mix, which is the last, takes none of them. Rows that repeat
+are judged alike, but for near_duplicates, which keeps one row of an id; rows with a null id pass it. Empty tables
+give empty tables, and further columns are passed through as they are.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows that repeat an id, the one with the least text."""
     repeated = materialize(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeated")
     if repeated.limit(1).count():
-        order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]])
+        rest = F.to_json(F.struct(F.lit(0).alias("_"), *[docs[f"`{c}`"] for c in docs.columns if c not in ("doc_id", "text")]))  # columns of any type
+        order = Window.partitionBy("doc_id").orderBy("text", rest)
         one = keep_ids(docs, repeated, "doc_id").withColumn("__n", F.row_number().over(order)).where("__n = 1").select(docs.columns)
         docs = keep_ids(docs, repeated, "doc_id", "left_anti").select(docs.columns).unionByName(one)
     others = materialize(similar_documents(docs).where("doc_id <> component_id").select("doc_id"), "pipeline-duplicates")
