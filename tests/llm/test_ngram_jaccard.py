@@ -88,6 +88,30 @@ def test_one_hot_group_is_cut_in_buckets(spark, monkeypatch):
     assert len(pairs) == len({(r.a, r.b) for r in pairs})
 
 
+@pytest.mark.parametrize(("dense", "pivot", "hot"), [(0, 200, 2000), (1e9, 10**9, 5), (1e9, 2, 5), (1, 2, 2000)])
+def test_all_pairs_of_a_component_or_those_of_its_keys(spark, monkeypatch, dense, pivot, hot):
+    monkeypatch.setattr(ng, "DENSE", dense)
+    monkeypatch.setattr(ng, "PIVOT", pivot)
+    monkeypatch.setattr(ng, "HOT", hot)
+    rng = random.Random(15)
+    texts = [t for size in (3, 6, 15, 40, 90) for t in variants(rng, [f"w{rng.randrange(size * 2)}" for _ in range(size)], 20, max(1, size // 6))]
+    line = " ".join(f"p{k}" for k in range(25))  # in two groups and in others
+    texts += [f"{line} {t}" for size in (30, 31) for t in variants(rng, [f"q{rng.randrange(size)}" for _ in range(size)], 15, 6)] + [line + " " + " ".join(f"u{rng.randrange(10**7)}" for _ in range(20)) for _ in range(15)]
+    rows = list(enumerate(texts))
+    assert got(spark, rows) == brute(rows)
+
+
+def test_near_copies_make_no_pair_for_each_key_they_share(spark, monkeypatch):
+    made = {}
+    real = ng.materialize
+    monkeypatch.setattr(ng, "materialize", lambda df, name: made.setdefault(name, real(df, name)))
+    rng = random.Random(16)
+    rows = list(enumerate(variants(rng, [f"w{k}" for k in range(80)], 60, 3)))
+    assert got(spark, rows) == brute(rows)
+    assert made["ng-looked"].groupBy("key").count().where("count > 20").count() > 10  # many keys, each of many sets
+    assert made["ng-pairs"].count() == 0
+
+
 def test_edges(spark):
     long = " ".join(f"w{i % 5000}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "a b"), (5, "A b"), (6, long), (7, long + " end"), (None, "a b"), (8, "\x85"), (9, "a b c"), (9, "a b c")]
