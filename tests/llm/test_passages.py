@@ -314,3 +314,19 @@ def test_fuzzy_passages_are_not_cut_by_the_span_of_their_seeds(spark):
     found = repeated_passages(spark.createDataFrame(rows, DOCS)).collect()
     assert all(r.other_id == r.doc_id - 1 and r.identity >= 0.75 and r.n_words >= 50 for r in found)
     assert len({r.doc_id for r in found}) >= 50  # the others have no seed in common
+
+
+def test_variants_of_a_passage_meet_whatever_lies_between(spark):
+    rng = random.Random(21)
+    core = words(rng, 6)  # the only run of six words that the two texts have in common
+    left, right = words(rng, 45), words(rng, 45)
+
+    def variant(turn):
+        edit = lambda part: [f"e{rng.randrange(10**6)}" if n % 8 == turn else w for n, w in enumerate(part)]
+        return edit(left) + core + edit(right)
+
+    texts = {1: variant(0), 900: variant(4)}
+    for i in range(100, 140):  # texts with the core alone: in order of what follows, some lie between
+        texts[i] = words(rng, 60) + core + words(rng, 60)
+    found = repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], DOCS)).collect()
+    assert {(r.doc_id, r.other_id) for r in found} == {(900, 1)}
