@@ -330,3 +330,37 @@ def test_variants_of_a_passage_meet_whatever_lies_between(spark):
         texts[i] = words(rng, 60) + core + words(rng, 60)
     found = repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], DOCS)).collect()
     assert {(r.doc_id, r.other_id) for r in found} == {(900, 1)}
+
+
+def test_places_of_a_seed_are_compared_without_trying_all_pairs(monkeypatch):
+    from corpusloom.llm.chaining import Meetings, nth, passages, sides
+
+    rng, s, codes_of, tried = random.Random(22), Settings(), Codes(), []
+    core, stock = words(rng, 6), words(rng, 5000)
+    common_first = [1 / (n + 1) for n in range(len(stock))]
+    texts = [[rng.choices(stock, common_first, k=100), rng.choices(stock, common_first, k=100)] for _ in range(200)]
+    for n in range(0, 60, 2):  # a text and a variant of it near the seed
+        for side, (own, near) in enumerate(((58, 100), (0, 42))):
+            part = [w if rng.random() > 0.15 else f"e{rng.randrange(10**6)}" for w in texts[n][side][own:near]]
+            texts[n + 1][side][own:near] = part
+    for n in range(60, 90):  # a few words over and over
+        texts[n] = [[w for w in rng.sample(stock[:3], 2) for _ in range(50)] for _ in range(2)]
+    codes = [(codes_of.of(" ".join(left + core + right)) >> np.uint64(32)).astype("<u4") for left, right in texts]
+    around = np.concatenate([sides(c, np.array([100]), s.k, s.margin) for c in codes])
+    classes = np.array([0 if n >= 150 else n // 3 for n in range(200)])
+    able = Meetings._able
+    monkeypatch.setattr(Meetings, "_able", lambda self, i, j, *rest: (tried.append(np.size(j)), able(self, i, j, *rest))[1])
+    order = np.concatenate([nth(around[:, : s.margin]), nth(around[:, s.margin :])], axis=1)
+    want = set()
+    for i in range(200):
+        for j in range(i):
+            if classes[i] != classes[j] and any(p <= 100 and x >= 106 and q <= 100 and y >= 106 for p, x, q, y, _ in passages(codes[i], codes[j], s)):
+                want.add((j, i))
+    every, half = np.arange(200), np.arange(100)
+    meetings = Meetings(around, order, s)
+    found = [(int(min(i, j)), int(max(i, j))) for x, y in meetings.pairs(every, every, classes) for i, j in zip(x, y)]
+    assert len(want) > 30 and want <= set(found) and len(found) == len(set(found))
+    assert all(classes[i] != classes[j] for i, j in found)
+    assert sum(tried) < 200 * 199 / 4  # half of all pairs, though texts of the same few words are tried in unions, too
+    halves = {(int(i), int(j)) for x, y in meetings.pairs(half, half + 100, classes) for i, j in zip(x, y)}
+    assert halves == {(i, j) for i, j in found if i < 100 <= j}
