@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import vectors
 from ..schema import FILE_SCHEMA, as_entries, as_json, is_valid, known_source
+from ..scratch import scratch
 
 DEFAULT_DIM = 768
 #: Ends the first line of a single-file index with an entry a line.
@@ -20,13 +21,19 @@ ENTRIES = ',"entries":['
 
 
 def with_positions(df: DataFrame, column: str = "idx") -> DataFrame:
-    """Rows numbered from 0 in the order in which they are read. Numbers are counted by partition, so no row moves."""
-    schema = df.schema
+    """Rows numbered from 0 in the order in which they are read. Numbers are counted by partition, so no row moves.
+
+    The rows are written with their partition, and the sizes are counted of what was written: a plan that is run twice may be
+    cut differently (executors come and go, shuffles are coalesced by their size), and rows would be lost or share a number.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, "positions")
     numbered = df.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.spark_partition_id())
+    numbered.write.parquet(path)
+    numbered = spark.read.schema(numbered.schema).parquet(path)
     sizes = numbered.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("__first"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = F.broadcast(sizes.select("__part", "__first", before.alias("__before")))  # one row a partition
-    return numbered.join(starts, "__part").select(*[F.col(f"`{f.name}`") for f in schema], (F.col("__at") - F.col("__first") + F.col("__before")).alias(column))
+    return numbered.join(starts, "__part").select(*[F.col(f"`{f.name}`") for f in df.schema], (F.col("__at") - F.col("__first") + F.col("__before")).alias(column))
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], warn: bool = False) -> DataFrame:

@@ -245,3 +245,19 @@ def test_word_windows_split_a_text_once(spark):
     df = spark.createDataFrame([(text,), ("a b",), ("",), (None,)], "text string").select(word_windows("text", 100, 20).alias("c"))
     rows = [r.c for r in df.collect()]
     assert len(rows[0]) == 250 and rows[0][1].split()[0] == "w80" and rows[1] == ["a b"]
+
+
+def test_positions_hold_where_a_second_run_is_cut_differently(spark):
+    ours = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k", "spark.sql.shuffle.partitions": "16"}
+    was = {k: spark.conf.get(k) for k in ours}
+    try:
+        for k, v in ours.items():
+            spark.conf.set(k, v)
+        # Without its texts the table is small, so that counting it alone needs fewer partitions.
+        text = F.concat(*[F.sha2(F.concat("id", F.lit(f" {k}")), 512) for k in range(8)])
+        rows = spark.range(4000).select(F.col("id").cast("string").alias("id")).withColumn("text", text).repartition("id")
+        got = files.with_positions(rows).select("id", F.length("text").alias("n"), "idx").collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert sorted(r.idx for r in got) == list(range(4000)) and len({r.id for r in got}) == 4000
