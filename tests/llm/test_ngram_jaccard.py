@@ -143,3 +143,19 @@ def test_no_python_on_the_way(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d e")], "id long, text string")
     plan = ng.sketch_rows(ng.shingle_sets(docs, 3), 70)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_texts_are_split_once_for_their_digests(spark, monkeypatch):
+    from corpusloom.llm import ngram_jaccard
+
+    plans = {}
+
+    def kept(df, name, write=ngram_jaccard.materialize):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(ngram_jaccard, "materialize", kept)
+    rows = [(1, "a  B\tc "), (2, "A b C"), (3, " \n"), (4, None), (5, "")]
+    members, links = ngram_jaccard.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.id, r.rep) for r in members.collect()} == {(1, 1), (2, 1)} and links.count() == 0
+    assert plans["ng-texts"].count("md5") == 1 and plans["ng-texts"].count("[\\x20") == 1
