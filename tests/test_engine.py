@@ -261,3 +261,31 @@ def test_positions_hold_where_a_second_run_is_cut_differently(spark):
         for k, v in was.items():
             spark.conf.set(k, v)
     assert sorted(r.idx for r in got) == list(range(4000)) and len({r.id for r in got}) == 4000
+
+
+def test_nearest_rows_are_those_of_all_sums(spark):
+    from random import Random
+
+    from corpusloom.operators.nearest import nearest
+
+    rng = Random(3)
+    rows = [(i, [float(rng.randrange(-3, 4)) for _ in range(6)]) for i in range(300)]  # many ties
+    rows += [(300, None), (301, [1.0, None, 2.0, 0.0, 0.0, 0.0]), (302, [9.0] * 6), (303, [float("nan")] * 6), (304, [5.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = df.where("vec_id % 50 = 0 OR vec_id = 303").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    got = nearest(df, asked, 5)
+    pairs = df.crossJoin(asked).select("query_id", "vec_id", F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x).alias("sim"))
+    pairs.createOrReplaceTempView("nearest_pairs")
+    want = spark.sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS n FROM nearest_pairs) WHERE n <= 5")
+    of = lambda x: sorted((r.query_id, r.n, r.vec_id, str(r.sim)) for r in x.collect())
+    assert of(got) == of(want)
+    assert "FlatMapCoGroups" in got._jdf.queryExecution().executedPlan().toString()  # products of blocks, not of pairs
+
+
+def test_lengths_are_taken_where_the_texts_are(spark):
+    from corpusloom.operators.packing import assign_batches
+
+    lengths = spark.range(0, 1000, 1, 8).select(F.col("id").alias("idx"), F.lit(10).cast("long").alias("length"))
+    got = assign_batches(lengths, 100)
+    assert "Coalesce" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.idx, r.batch_id) for r in got.collect()) == [(i, i // 10) for i in range(1000)]
