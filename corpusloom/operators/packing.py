@@ -20,7 +20,8 @@ def assign_batches(lengths: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """(idx, batch_id, oversize) from (idx, length): entries in order of idx go into a batch while they fit.
 
     An entry longer than the budget closes the batch before it and is one of its own. The fold is sequential by nature; it
-    sees two numbers an entry, in Arrow batches of one sorted partition, and holds none of them.
+    sees two numbers an entry, in Arrow batches of one sorted partition, and holds none of them. The lengths are taken where
+    the texts are and shuffled to the one task: without a shuffle, it would read all texts itself.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -39,7 +40,7 @@ def assign_batches(lengths: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
                     used, holds = used + n, True
             yield pd.DataFrame({"idx": rows["idx"], "batch_id": ids, "oversize": over})
 
-    return lengths.select("idx", "length").coalesce(1).sortWithinPartitions("idx").mapInPandas(fold, "idx long, batch_id long, oversize boolean")
+    return lengths.select("idx", "length").repartition(1).sortWithinPartitions("idx").mapInPandas(fold, "idx long, batch_id long, oversize boolean")
 
 
 def pack_batches(entries: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
