@@ -42,10 +42,6 @@ def is_contextualized():
 def contextualize(entries: DataFrame, generate: Generate, model: str = "", concurrency: int = 10) -> DataFrame:
     """Texts with their context before them, flagged in the metadata; entries that have it are left as they are, and
     so are those whose call fails. A new text has neither hash nor vector."""
-    done, todo = entries.where(is_contextualized()), entries.where(~is_contextualized())
-    hidden = todo.withColumn("__metadata", F.to_json("metadata")).withColumn("__prompt", context_prompt()).drop("metadata")
-    schema = StructType([f for f in hidden.schema.fields if f.name != "__prompt"])
-
     def ask(prompt: str) -> str | None:
         try:
             return generate(prompt) or None
@@ -53,22 +49,22 @@ def contextualize(entries: DataFrame, generate: Generate, model: str = "", concu
             print(f"no context: {error}")
             return None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Only prompts go to Python, and contexts come back; texts and metadata stay where they are.
+    @F.pandas_udf("string")
+    def context(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         with ThreadPoolExecutor(concurrency) as pool:
-            for batch in batches:
-                context = list(pool.map(ask, batch.pop("__prompt")))
-                batch["text"] = [f"{c}\n\n{t}" if c else t for c, t in zip(context, batch["text"], strict=True)]
-                batch["__metadata"] = [m if c is None else "+" + m for c, m in zip(context, batch["__metadata"], strict=True)]
-                yield batch
-
-    got = hidden.mapInPandas(run, schema)
-    flagged = F.startswith(F.col("__metadata"), F.lit("+"))
-    got = got.withColumn("__new", flagged).withColumn("metadata", F.parse_json(F.when(flagged, F.substring("__metadata", 2, 2**31 - 1)).otherwise(F.col("__metadata"))))
-    got = got.withColumn("metadata", F.when(F.col("__new"), merge_metadata("metadata", {"contextualized": F.lit(True), "context_model": F.lit(model)})).otherwise(F.col("metadata")))
+            for prompts in batches:
+                yield pd.Series(list(pool.map(lambda p: None if p is None else ask(p), prompts)), dtype=object)
+
+    asked = F.when(~is_contextualized(), context_prompt())
+    got = entries.withColumn("__context", context.asNondeterministic()(asked))
+    new = F.col("__context").isNotNull()
+    got = got.withColumn("text", F.when(new, F.concat("__context", F.lit("\n\n"), "text")).otherwise(F.col("text")))
+    got = got.withColumn("metadata", F.when(new, merge_metadata("metadata", {"contextualized": F.lit(True), "context_model": F.lit(model)})).otherwise(F.col("metadata")))
     for c in ("content_hash", "embedding"):
         if c in got.columns:
-            got = got.withColumn(c, F.when(~F.col("__new"), F.col(c)))
-    return got.drop("__metadata", "__new").select(entries.columns).unionByName(done)
+            got = got.withColumn(c, F.when(~new, F.col(c)))
+    return got.select(entries.columns)
 
 
 def rerank(score: Callable[[str, list[str]], list[float]]) -> Callable[[str, DataFrame], DataFrame]:

@@ -289,3 +289,10 @@ def test_lengths_are_taken_where_the_texts_are(spark):
     got = assign_batches(lengths, 100)
     assert "Coalesce" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.idx, r.batch_id) for r in got.collect()) == [(i, i // 10) for i in range(1000)]
+
+
+def test_only_prompts_go_to_the_generator(spark):
+    df = corpus(spark, [(0, "a", "text", "s", None, None, "{}", [1.0])])
+    of = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    plan = of(generate.contextualize(df, lambda p: "c", "m", 2))
+    assert plan.count("MapInPandas") == of(df).count("MapInPandas") and "ArrowEvalPython" in plan
