@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,11 +83,14 @@ def encode_texts(rows: DataFrame, model: Model) -> DataFrame:
         raise ValueError(f"model {model.name} has no encoder here")
     encode, batch_size = model.encode, model.batch
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"content_hash": batch["content_hash"], "embedding": encode_adaptively(encode, batch["text"].tolist(), batch_size)})
+            for at in range(0, batch.num_rows, batch_size):  # Python holds the texts and vectors of one call
+                part = batch.slice(at, batch_size)
+                made = encode_adaptively(encode, part.column("text").to_pylist(), batch_size)
+                yield pa.RecordBatch.from_arrays([part.column("content_hash"), pa.array(made, pa.list_(pa.float32()))], ["content_hash", "embedding"])
 
-    return rows.select("content_hash", clipped("text", model.max_chars).alias("text")).mapInPandas(run, "content_hash string, embedding array<float>")
+    return rows.select("content_hash", clipped("text", model.max_chars).alias("text")).mapInArrow(run, "content_hash string, embedding array<float>")
 
 
 def load_cache(spark: SparkSession, path: str, dim: int) -> DataFrame:

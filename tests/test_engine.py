@@ -296,3 +296,10 @@ def test_only_prompts_go_to_the_generator(spark):
     of = lambda x: x._jdf.queryExecution().executedPlan().toString()
     plan = of(generate.contextualize(df, lambda p: "c", "m", 2))
     assert plan.count("MapInPandas") == of(df).count("MapInPandas") and "ArrowEvalPython" in plan
+
+
+def test_python_holds_the_vectors_of_one_call(spark):
+    rows = spark.range(200).select(F.md5(F.col("id").cast("string")).alias("content_hash"), F.col("id").cast("string").alias("text"))
+    made = embed.encode_texts(rows, embed.model_of("test", dim=16, encode=embed.HashingEncoder(16)))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan and made.where("size(embedding) = 16").count() == 200
