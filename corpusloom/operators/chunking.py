@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -13,6 +13,8 @@ from ..functions.text import sentences, word_count, words
 
 #: A last chunk of fewer than this share of the budget joins the one before.
 TAIL = 0.25
+#: Texts whose chunks Python holds at a time.
+ROWS = 64
 
 
 def _check(size: int, overlap: int) -> None:
@@ -66,10 +68,12 @@ def fold_sentences(parts: list[str], size: int, overlap: int) -> list[str]:
 
 
 def _sentence_chunks(size: int, overlap: int):
-    @F.pandas_udf(ArrayType(StringType()))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(ArrayType(StringType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield batch.map(lambda parts: None if parts is None else fold_sentences(list(parts), size, overlap))
+            # Text by text and in Arrow's own buffers: a batch of texts as Python's strings takes many times its bytes.
+            done = [pa.array([fold_sentences(x.as_py(), size, overlap) if x.is_valid else None for x in batch[k : k + ROWS]], pa.list_(pa.string())) for k in range(0, len(batch), ROWS)]
+            yield pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.string()))
 
     return run
 

@@ -303,3 +303,13 @@ def test_python_holds_the_vectors_of_one_call(spark):
     made = embed.encode_texts(rows, embed.model_of("test", dim=16, encode=embed.HashingEncoder(16)))
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "MapInPandas" not in plan and made.where("size(embedding) = 16").count() == 200
+
+
+def test_sentences_go_through_arrow(spark):
+    from corpusloom.operators import chunking
+
+    texts = [" ".join(f"a{k} b{i}." for k in range(40)) for i in range(150)] + ["short", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "idx long, text string")
+    got = chunking.with_chunks(df, 20, 4)
+    assert {r.idx: r.chunks for r in got.collect()}[149] == chunking.fold_sentences([f"a{k} b149." for k in range(40)], 20, 4)
+    assert "pa.Array" in str(chunking._sentence_chunks(20, 4).func.__annotations__)
